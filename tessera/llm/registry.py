@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat, html_text, secrets, sharding
+from tessera.llm import chat, html_text, quality, secrets, sharding, toxicity
 
-QUERIES = {"op6_chat": chat.op6_chat, "op8_secrets": secrets.op8_secrets, "op9_html": html_text.op9_html, "op10_sharding": sharding.op10_sharding}
+QUERIES = {"op1_quality": quality.op1_quality, "op4_toxicity": toxicity.op4_toxicity, "op6_chat": chat.op6_chat, "op8_secrets": secrets.op8_secrets, "op9_html": html_text.op9_html, "op10_sharding": sharding.op10_sharding}
 SQL = {"op6_chat": chat.OP6_SQL}
