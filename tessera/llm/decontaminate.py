@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -189,16 +189,21 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
+def free_of(items) -> Callable:
+    """A filter for texts in which no item of a block (a broadcast) is found."""
+
+    @F.pandas_udf("boolean")
+    def clean(texts: pd.Series) -> pd.Series:
+        return pd.Series([not (t and items.value.matches(t)) for t in texts], dtype=bool)
+
+    return clean
+
+
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` in which no item is found, with all their columns: a filter in place, without a join."""
     for items in blocks(benchmark):
         held = docs.sparkSession.sparkContext.broadcast(with_rare_seeds(docs, items))
-
-        @F.pandas_udf("boolean")
-        def clean(texts: pd.Series, held=held) -> pd.Series:
-            return pd.Series([not (t and held.value.matches(t)) for t in texts], dtype=bool)
-
-        docs = docs.filter(clean(F.col("text").cast("string")))
+        docs = docs.filter(free_of(held)(F.col("text").cast("string")))
     return docs
 
 
