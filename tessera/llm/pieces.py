@@ -8,10 +8,9 @@ their greatest sum is not its encoding; for these models the fold follows the me
 
 from __future__ import annotations
 
-import base64
 import heapq
 import pickle
-import zlib
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -27,6 +26,7 @@ from tessera.llm.common import table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
+SPACES = re.compile(" +[^ ]*")
 #: Code points of texts whose units are found and encoded together: the distinct units of so much text are one row's array.
 BATCH = 16_000_000
 #: Units up to this length are folded with a 64-bit mask of their boundaries; longer ones by the same merges with a heap.
@@ -68,6 +68,11 @@ class PieceModel:
         spelled = {i: p.replace(SPACE, " ").encode() for p, i, _ in normal} | {i: bytes([k]) for k, i in byte.items()} | {i: " ⁇ ".encode() for _, i, _, t in rows if t == 2}
         return PieceModel([(p, i, order[s]) for p, i, s in normal], [s for _, _, s in normal], byte.get(0), next((i for _, i, _, t in rows if t == 2), 0), max((len(p) for p, _, _ in normal), default=1), bpe, spelled)
 
+    @property
+    def penalty(self) -> float:
+        """What a character without a piece costs a unigram path."""
+        return min(self.scores, default=0.0) - 10
+
     def fallback(self, char: str) -> list[int]:
         return [self.unk_id] if self.byte_id is None else [self.byte_id + b for b in char.encode()]
 
@@ -91,13 +96,40 @@ class Cutter:
             a = self.of[[ord(c) for c in p]]
             self.joined[a[:-1], a[1:]] = True
 
-    def __call__(self, text: str) -> list[str]:
-        if not text:
-            return []
-        s = SPACE + text.replace(" ", SPACE)
+    def words(self, words: list[str]) -> tuple[list[str], np.ndarray]:
+        """The units of all words, one after the other, and how many each word has."""
+        if not words:
+            return [], np.zeros(0, np.int64)
+        s = "".join(words)
         a = self.of[np.frombuffer(s.encode("utf-32-le", "surrogatepass"), "<u4")]
-        cuts = (np.flatnonzero(~self.joined[a[:-1], a[1:]]) + 1).tolist()
-        return [s[i:j] for i, j in zip([0, *cuts], [*cuts, len(s)], strict=True)]
+        starts = np.cumsum([0, *map(len, words)])
+        cut = np.ones(len(s), bool)
+        cut[1:] = ~self.joined[a[:-1], a[1:]]
+        cut[starts[:-1]] = True
+        at = np.flatnonzero(cut)
+        bounds = at.tolist()
+        return [s[i:j] for i, j in zip(bounds, [*bounds[1:], len(s)], strict=True)], np.diff(np.searchsorted(at, starts))
+
+    def __call__(self, text: str) -> list[str]:
+        return self.words([SPACE + text.replace(" ", SPACE)])[0] if text else []
+
+
+def best_path(unit: str, scores: dict[str, tuple[float, int]], model: PieceModel) -> list[int]:
+    """A unit's ids by Viterbi, as the fold finds them: for units that no mask or array holds."""
+    best: list[tuple[float, int, int]] = [(0.0, 0, 0)]
+    for e in range(1, len(unit) + 1):
+        ways = [(best[e - 1][0] + model.penalty, e - 1, -ord(unit[e - 1]) - 1)]
+        for s in range(max(0, e - model.longest), e):
+            if (x := scores.get(unit[s:e])) is not None:
+                ways.append((best[s][0] + x[0], s, x[1]))
+        best.append(max(ways))
+    ids: list[int] = []
+    e = len(unit)
+    while e:
+        _, s, i = best[e]
+        ids[:0] = [i] if i >= 0 else model.fallback(unit[s])
+        e = s
+    return ids
 
 
 def merge(unit: str, rank: dict[str, tuple[int, int]], model: PieceModel) -> list[int]:
@@ -139,45 +171,58 @@ def piece_table(spark: SparkSession, model: PieceModel) -> DataFrame:
     return spark.createDataFrame(rows, "piece string, id int, rank int, score double")
 
 
-def lattice(units: DataFrame, keys: list[str], pieces: DataFrame, longest: int) -> DataFrame:
-    """``units`` (keys, unit) with ``edges``: rank, start, end, id and score of every substring of the unit that is a piece, in that order.
-
-    A unit without an edge has no row."""
+def substrings(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
+    """``unit, s, e`` and the piece's columns of every substring that is a piece: exploded up to the longest piece, joined to the piece table."""
     n = F.length("unit")
-    spans = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda s: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), n - s)), lambda k: F.struct(s.alias("s"), (s + k).alias("e")))))
-    each = units.select(*keys, "unit", F.explode(spans).alias("x")).select(*keys, "unit", "x.s", "x.e", F.expr("substring(unit, x.s + 1, x.e - x.s)").alias("piece"))
-    found = each.join(F.broadcast(pieces), "piece")
-    return found.groupBy(*keys, "unit").agg(F.array_sort(F.collect_list(F.struct("rank", "s", "e", "id", "score"))).alias("edges"))
+    starts = units.select("unit", F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
+    each = starts.select("unit", "s", F.explode(F.sequence(F.col("s") + 1, F.least(F.col("s") + longest, n))).alias("e"))
+    return each.select("unit", "s", "e", F.expr("substring(unit, s + 1, e - s)").alias("piece")).join(F.broadcast(pieces), "piece")
 
 
 def bit(k: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), k)
 
 
-def unknown(at: Column) -> Column:
-    """A character without a piece, as minus its code point less one."""
-    return -F.ascii(F.call_function("substring", F.col("unit"), at + 1, F.lit(1))) - 1
+def field_of(edge: Column, at: int, bits: int) -> Column:
+    return F.shiftrightunsigned(edge, at).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+
 
+def merged(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
+    """``unit, ids`` that merging leaves, of distinct units up to MASK long. A unit without an edge has no row.
 
-def merged(lat: DataFrame) -> DataFrame:
-    """The lattice with the ids that merging leaves, of units up to MASK long. The fold's state is the mask of boundaries; each step takes the first edge, by
-    rank and then from the left, that spans exactly two adjacent symbols, and clears the boundary between them."""
+    An edge is one number, its rank over start, end and id, so that rising numbers are the order in which merges apply. The fold's state is the
+    mask of boundaries; each step takes the first edge that spans exactly two adjacent symbols and clears the boundary between them."""
+    edge = F.col("rank").cast("long") * (1 << 36) + F.col("s").cast("long") * (1 << 30) + F.col("e").cast("long") * (1 << 24) + F.col("id")
+    lat = substrings(units, pieces, longest).groupBy("unit").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
+    start, end = (lambda x: field_of(x, 30, 6)), (lambda x: field_of(x, 24, 6))
+    wide = F.transform(F.filter("edges", lambda x: end(x) - start(x) > 1), lambda x: F.struct((bit(end(x)) - bit(start(x) + 1)).alias("inner"), bit(start(x)).bitwiseOR(bit(end(x))).alias("ends")))
+    first = lambda b: F.get(F.filter("wide", lambda x: (b.bitwiseAND(x["ends"]) == x["ends"]) & (F.bit_count(b.bitwiseAND(x["inner"])) == 1)), F.lit(0))["inner"]
     n = F.length("unit")
-    marked = F.transform("edges", lambda x: F.struct((bit(x["e"]) - bit(x["s"] + 1)).alias("inner"), bit(x["s"]).bitwiseOR(bit(x["e"])).alias("ends"), x["s"].alias("s"), x["id"].alias("id")))
-    whole = lambda x, b: b.bitwiseAND(x["ends"]) == x["ends"]
-    wide = F.filter(marked, lambda x: x["inner"] > 0)
-    first = lambda b: F.get(F.filter(F.col("wide"), lambda x: whole(x, b) & (F.bit_count(b.bitwiseAND(x["inner"])) == 1)), F.lit(0))["inner"]
-    lat = lat.withColumn("marked", marked).withColumn("wide", wide)
-    lat = lat.withColumn("cuts", F.aggregate(F.sequence(F.lit(1), F.size("wide") + 1), bit(n + 1) - 1, lambda b, _: b.bitwiseAND(F.bitwise_not(F.coalesce(first(b), F.lit(0).cast("long"))))))
+    steps = F.when(F.size("wide") > 0, F.sequence(F.lit(1), F.least(F.size("wide"), n))).otherwise(F.array().cast("array<int>"))
+    lat = lat.withColumn("wide", wide)
+    lat = lat.withColumn("cuts", F.aggregate(steps, bit(n + 1) - 1, lambda b, _: b.bitwiseAND(F.bitwise_not(F.coalesce(first(b), F.lit(0).cast("long"))))))
     cuts = F.col("cuts")
-    edge = lambda i: F.get(F.filter(F.col("marked"), lambda x: (x["s"] == i) & whole(x, cuts) & (cuts.bitwiseAND(x["inner"]) == 0)), F.lit(0))["id"]
-    starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: cuts.bitwiseAND(bit(i)) != 0)
-    return lat.withColumn("ids", F.transform(starts, lambda i: F.coalesce(edge(i), unknown(i))))
+    symbol = lambda x: F.call_function("shiftrightunsigned", cuts, start(x)).bitwiseAND(bit(end(x) - start(x) + 1) - 1) == bit(end(x) - start(x)) + 1
+    found = F.array_sort(F.transform(F.filter("edges", symbol), lambda x: x.bitwiseAND(F.lit((1 << 36) - 1))))
+    lat = lat.withColumn("found", found)
+    covered = F.aggregate("found", F.lit(0), lambda z, x: z + end(x) - start(x))
+    known = F.transform("found", lambda x: field_of(x, 0, 24))
+    at = F.filter(F.sequence(F.lit(0), n - 1), lambda i: cuts.bitwiseAND(bit(i)) != 0)
+    mixed = F.transform(at, lambda i: F.coalesce(field_of(F.get(F.filter("found", lambda x: start(x) == i), F.lit(0)), 0, 24), unknown(i)))
+    return lat.select("unit", F.when(covered == n, known).otherwise(mixed).alias("ids"))
+
+
+def unknown(at: Column) -> Column:
+    """A character without a piece, as minus its code point less one."""
+    return -F.ascii(F.call_function("substring", F.col("unit"), at + 1, F.lit(1))) - 1
 
 
-def viterbi(lat: DataFrame, penalty: float) -> DataFrame:
-    """The lattice with the ids of the path of the greatest sum of scores; a character without a piece costs ``penalty``. The fold goes over end positions; its
-    state holds, for each position reached, the best sum with the start and the id of its last edge."""
+def viterbi(units: DataFrame, pieces: DataFrame, longest: int, penalty: float) -> DataFrame:
+    """``unit, ids`` of the path of the greatest sum of scores, of distinct units up to MASK long; a character without a piece costs ``penalty``.
+
+    The fold goes over end positions; its state holds, for each position reached, the best sum with the start and the id of its last edge.
+    Of equal sums the later start wins, then the greater id. A unit without an edge has no row."""
+    lat = substrings(units, pieces, longest).groupBy("unit").agg(F.collect_list(F.struct("s", "e", "id", "score")).alias("edges"))
     n = F.length("unit")
     step = lambda best, e: F.concat(best, F.array(F.array_max(F.concat(
         F.transform(F.filter("edges", lambda x: x["e"] == e), lambda x: F.struct((F.get(best, x["s"])["score"] + x["score"]).alias("score"), x["s"].alias("s"), x["id"].alias("id"))),
@@ -191,43 +236,132 @@ def viterbi(lat: DataFrame, penalty: float) -> DataFrame:
         lambda z, _: F.when(z["at"] > 0, F.struct(F.get("best", z["at"])["s"].alias("at"), F.concat(F.array(F.get("best", z["at"])["id"]), z["ids"]).alias("ids"))).otherwise(z),
         lambda z: z["ids"],
     )
-    return lat.withColumn("ids", back)
+    return lat.select("unit", back.alias("ids"))
+
+
+def fold(units: DataFrame, model: PieceModel) -> DataFrame:
+    """``unit, ids`` of each distinct unit (unit) by the fold that the model's kind asks for."""
+    pieces = piece_table(units.sparkSession, model)
+    return merged(units, pieces.drop("score"), model.longest) if model.bpe else viterbi(units, pieces.drop("rank"), model.longest, model.penalty)
 
 
-def fold(units: DataFrame, keys: list[str], pieces: DataFrame, model: PieceModel) -> DataFrame:
-    """``keys, ids`` of each unit (keys, unit) of the lattice."""
-    lat = lattice(units, keys, pieces, model.longest)
-    return (merged(lat) if model.bpe else viterbi(lat, min(model.scores, default=0.0) - 10)).select(*keys, "ids")
+class Packer:
+    """Gathers texts as numbers of words until there is enough for a batch; a word is what stands between spaces, with the space before it."""
+
+    def __init__(self, cutter: Cutter) -> None:
+        self.cutter = cutter
+        self.clear()
+
+    def clear(self) -> None:
+        self.ids, self.exact, self.counts, self.numbers, self.words, self.size = [], [], [], [], {}, 0
+
+    def add(self, doc_id: int | None, text: str) -> None:
+        words, n = self.words, len(self.words)
+        self.exact.append(SPACE not in text)
+        text = text.replace(SPACE, " ")
+        if not text:
+            parts = []
+        elif "  " in text or text[0] == " " or text[-1] == " ":
+            parts = [x[1:] for x in SPACES.findall(" " + text)]  # of several spaces all stand before the word
+        else:
+            parts = text.split(" ")
+        numbers = [words.setdefault(w, len(words)) for w in parts]
+        self.ids.append(doc_id)
+        self.counts.append(len(numbers))
+        self.numbers.append(np.array(numbers, np.int32))
+        self.size += len(text) + 1
+
+    def close(self) -> tuple[bytes, list[str]]:
+        """The batch's body, and its distinct units but for characters of no piece."""
+        numbers = np.concatenate([*self.numbers, np.zeros(0, np.int32)])
+        order = np.argsort(-np.bincount(numbers, minlength=len(self.words)), kind="stable")  # frequent words get small numbers
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order))
+        words = list(self.words)
+        words = [SPACE + words[k].replace(" ", SPACE) for k in order.tolist()]
+        units: dict[str, int] = {}
+        cuts, per_word = self.cutter.words(words)
+        of = self.cutter.of
+        # a character of no piece is a unit of its own: minus its code point less one
+        parts = np.array([units.setdefault(u, len(units)) if len(u) > 1 or of[ord(u)] else -ord(u) - 1 for u in cuts], np.int32)
+        planes = lambda x: np.ascontiguousarray(x.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes()
+        body = zstandard.compress(pickle.dumps((list(units), self.ids, self.exact, self.counts, planes(place[numbers]), planes(per_word), planes(parts))), 3)
+        return body, list(units)
+
+
+def unplane(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view("<i4").ravel()
 
 
 def pack(docs: DataFrame, model: PieceModel) -> DataFrame:
-    """``batch, packed``: the distinct units of a batch of texts, and the texts as numbers of units."""
+    """``batch, body, units``: batches of texts as numbers with their units, and these units once more to work on. The same input gives the same batches."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cutter, task, k = Cutter(held.value), TaskContext.get().partitionId(), 0
-        ids, sums, counts, numbers, units, size = [], [], [], [], {}, 0
+        packer, batch = Packer(Cutter(held.value)), TaskContext.get().partitionId() << 16
 
         def close() -> pd.DataFrame:
-            body = pickle.dumps((ids, sums, np.array(counts, np.int64), np.concatenate([*numbers, np.zeros(0, np.int32)])))
-            return pd.DataFrame({"batch": [f"{task}-{k}"], "packed": ["\0".join(units) + "\0\0" + base64.b64encode(zstandard.compress(body, 3)).decode()]})
+            body, units = packer.close()
+            packer.clear()
+            return pd.DataFrame({"batch": [batch], "body": [body], "units": [units]})
 
         for b in batches:
             for doc_id, text in zip(b["doc_id"].astype("Int64"), b["text"], strict=True):
-                # a character of no piece is a unit of its own: minus its code point less one
-                cut = [units.setdefault(u, len(units)) if len(u) > 1 or cutter.of[ord(u)] else -ord(u) - 1 for u in cutter(text or "")]
-                ids.append(None if doc_id is pd.NA else int(doc_id))
-                sums.append(zlib.crc32((text or "").encode()))
-                counts.append(len(cut))
-                numbers.append(np.array(cut, np.int32))
-                size += len(text or "") + 1
-                if size >= BATCH:
+                packer.add(None if doc_id is pd.NA else int(doc_id), text or "")
+                if packer.size >= BATCH:
                     yield close()
-                    ids, sums, counts, numbers, units, size, k = [], [], [], [], {}, 0, k + 1
-        if ids:
+                    batch += 1
+        if packer.ids:
             yield close()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(work, "batch string, packed string")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(work, "batch long, body binary, units array<string>")
+
+
+def ragged(flat: np.ndarray, start: np.ndarray, size: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of ``flat`` that ``which`` names, one after the other, and their lengths."""
+    n = size[which]
+    return flat[np.repeat(start[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())], n
+
+
+def unpack(body: bytes, u: np.ndarray, flat: np.ndarray, lengths: np.ndarray, m: PieceModel, rank: dict) -> Iterator[pa.RecordBatch]:
+    """The encoded documents of a batch: from the ids ``flat`` of the units numbered ``u``, as many each as ``lengths`` says."""
+    units, ids, exact, counts, numbers, per_word, parts = pickle.loads(zstandard.decompress(body))
+    numbers, per_word, parts = unplane(numbers), unplane(per_word).astype(np.int64), unplane(parts).astype(np.int64)
+    have = np.zeros(len(units), bool)
+    have[u] = True
+    more = {}
+    for c in np.unique(np.concatenate([parts[parts < 0], flat[flat < 0]])).tolist():
+        more[c] = m.fallback(chr(-c - 1))
+    if (flat < 0).any():  # characters without a piece within units
+        for k, p in zip(u.tolist(), np.split(flat, np.cumsum(lengths)[:-1]), strict=True):
+            if (p < 0).any():
+                more[k] = [y for x in p.tolist() for y in (more[x] if x < 0 else [x])]
+    for k in np.flatnonzero(~have).tolist():  # units over MASK, and those of which no character has a piece
+        more[k] = merge(units[k], rank, m) if m.bpe else best_path(units[k], rank, m)
+    flat = np.concatenate([flat, *(np.array(v, np.int64) for v in more.values())]).astype(np.int32)
+    lengths = np.concatenate([lengths, [len(v) for v in more.values()]]).astype(np.int64)
+    u = np.concatenate([u, list(more)]).astype(np.int64)
+    low = min(0, int(u.min(initial=0)))
+    start, size = np.zeros(len(units) - low, np.int64), np.zeros(len(units) - low, np.int64)
+    start[u - low], size[u - low] = np.cumsum(lengths) - lengths, lengths
+    flat, n = ragged(flat, start, size, parts - low)  # unit after unit of each word
+    word_start = np.cumsum(per_word) - per_word
+    upto = np.append(0, np.cumsum(n))
+    size = upto[word_start + per_word] - upto[word_start]
+    start = upto[word_start]
+    said = [units[p] if p >= 0 else chr(-p - 1) for p in parts.tolist()]
+    ends = start + size
+    good = np.array([b"".join([m.spelled.get(i, b"") for i in flat[i:j].tolist()]) == "".join(said[k : k + c]).replace(SPACE, " ").encode() for i, j, k, c in zip(start.tolist(), ends.tolist(), word_start.tolist(), per_word.tolist(), strict=True)], bool)
+    last = np.cumsum(counts)
+    for k in range(0, len(ids), 500):
+        count = np.array(counts[k : k + 500], np.int64)
+        which = numbers[last[k] - counts[k] : last[k + len(count) - 1]]
+        out, n = ragged(flat, start, size, which)
+        edges = np.append(0, np.cumsum(count))
+        offsets = np.append(0, np.cumsum(n))[edges].astype(np.int32)
+        wrong = np.append(0, np.cumsum(~good[which]))[edges]
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(out, pa.int32()))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[k : k + 500], pa.int64()), pa.array(np.diff(offsets)), lists, pa.array((np.diff(wrong) == 0) & np.array(exact[k : k + 500], bool))], ["doc_id", "n_tokens", "ids", "round_trip"])
 
 
 def encode(docs: DataFrame, model: PieceModel) -> DataFrame:
@@ -237,52 +371,28 @@ def encode(docs: DataFrame, model: PieceModel) -> DataFrame:
     empty texts have no ids; characters without a piece are bytes; null ids stay; repeated rows are encoded each; further columns are
     ignored; an empty table gives an empty result.
 
-    One shuffle, by batch of texts: a unit is looked up once in a batch however often it stands there, and no word is a key by which rows of
-    different batches meet, so common words make no hot task. A batch's units, edges and ids are bounded by the batch's text."""
-    spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(model)
-    packed = pack(docs, model).repartition("batch")
-    units = packed.select("batch", F.posexplode(F.split(F.substring_index("packed", "\0\0", 1), "\0")).alias("u", "unit")).filter(F.length("unit").between(1, MASK))
-    found = fold(units, ["batch", "u"], piece_table(spark, model), model).groupBy("batch").agg(F.collect_list(F.struct("u", "ids")).alias("found"))
+    Texts become numbers of words in batches of bounded size. The lattice is built once for each distinct unit of the table; its ids go back
+    to the batches that hold the unit, not to every place where it stands, so a unit in a third of all words is a row for each batch, in a
+    plain join whose skewed partitions Spark splits. Batches are made twice, once for their units and once for their texts, rather than kept."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    packed = pack(docs, model)
+    some = F.coalesce("batch", F.lit(0).cast("long"))  # never null: no filter that would part the two uses of the shuffle
+    units = packed.select(some.alias("batch"), F.posexplode("units").alias("u", "unit")).select("batch", "u", F.coalesce("unit", F.lit("")).alias("unit")).repartition("unit")
+    short = units.select("unit").distinct().filter(F.length("unit") <= MASK)
+    back = units.join(fold(short, model), "unit").groupBy("batch").agg(F.collect_list(F.struct("u", "ids")).alias("found"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        rank = {p: (r, i) for p, i, r in m.pieces}
+        rank = {p: (r, i) for p, i, r in m.pieces} if m.bpe else {p: (s, i) for (p, i, _), s in zip(m.pieces, m.scores, strict=True)}
         for b in batches:
             for row in range(b.num_rows):
-                text, body = b.column("packed")[row].as_py().split("\0\0", 1)
-                units = text.split("\0") if text else []
-                ids, sums, counts, numbers = pickle.loads(zstandard.decompress(base64.b64decode(body)))
                 got = b.column("found").slice(row, 1).flatten()
-                u, flat, lengths = got.field("u").to_numpy(), got.field("ids").flatten().to_numpy(), np.diff(got.field("ids").offsets.to_numpy())
-                have = np.zeros(len(units), bool)
-                have[u] = True
-                # what the lattice has no row for: units over MASK, and characters of no piece
-                more = {int(k): merge(units[k], rank, m) if m.bpe else [x for c in units[k] for x in m.fallback(c)] for k in np.flatnonzero(~have)}
-                for c in np.unique(np.concatenate([numbers[numbers < 0], flat[flat < 0]])).tolist():
-                    more[c] = m.fallback(chr(-c - 1))
-                if (flat < 0).any():
-                    parts = np.split(flat, np.cumsum(lengths)[:-1])
-                    for k, p in zip(u.tolist(), parts, strict=True):
-                        if (p < 0).any():
-                            more[k] = [y for x in p.tolist() for y in (more[x] if x < 0 else [x])]
-                flat, lengths, u = np.concatenate([flat, *(np.array(v, np.int64) for v in more.values())]).astype(np.int32), np.concatenate([lengths, [len(v) for v in more.values()]]).astype(np.int64), np.concatenate([u, list(more)]).astype(np.int64)
-                low = min(0, int(u.min(initial=0)))
-                start, size = np.zeros(len(units) - low, np.int64), np.zeros(len(units) - low, np.int64)
-                start[u - low], size[u - low] = (np.cumsum(lengths) - lengths), lengths
-                ends = np.cumsum(counts)
-                for k in range(0, len(ids), 500):
-                    part = numbers[ends[k] - counts[k] : ends[min(k + 500, len(ids)) - 1]].astype(np.int64) - low
-                    n = size[part]
-                    out = flat[np.repeat(start[part] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-                    per = np.add.reduceat(np.append(n, 0), np.minimum(np.append(0, ends[k : k + 500][:-1] - (ends[k] - counts[k])), len(n))) if len(part) else np.zeros(len(ids[k : k + 500]), np.int64)
-                    per[counts[k : k + 500] == 0] = 0
-                    offsets = np.append(0, np.cumsum(per)).astype(np.int32)
-                    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(out, pa.int32()))
-                    same = [zlib.crc32(m.decode(out[i:j].tolist()).encode()) == s for i, j, s in zip(offsets[:-1], offsets[1:], sums[k : k + 500], strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[k : k + 500], pa.int64()), pa.array(per.astype(np.int32)), lists, pa.array(same)], ["doc_id", "n_tokens", "ids", "round_trip"])
-
-    return packed.join(found, "batch", "left").select("packed", F.coalesce("found", F.array().cast("array<struct<u:int,ids:array<int>>>")).alias("found")).mapInArrow(work, "doc_id long, n_tokens int, ids array<int>, round_trip boolean")
+                ids = got.field("ids")
+                yield from unpack(b.column("body")[row].as_py(), got.field("u").to_numpy(), ids.flatten().to_numpy(), np.diff(ids.offsets.to_numpy()), m, rank)
+
+    bodies = packed.select(some.alias("batch"), "body")
+    rows = bodies.join(back, "batch", "left").select("body", F.coalesce("found", F.array().cast("array<struct<u:int,ids:array<int>>>")).alias("found"))
+    return rows.mapInArrow(work, "doc_id long, n_tokens int, ids array<int>, round_trip boolean")
 
 
 def decode(tokens: DataFrame, model: PieceModel) -> DataFrame:
