@@ -1,5 +1,6 @@
 """Every query of the engine: importing the modules registers them."""
 
+from tessera.plans import queries
 from tessera.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL"]
+__all__ = ["QUERIES", "SQL", "queries"]
