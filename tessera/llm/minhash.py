@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import components, cut, table
 
-#: Lists of at most this many documents are joined whole; longer ones are worked by pivots, and by pieces of BLOCK what those leave.
-SMALL, BLOCK, PIVOT_ROUNDS = 16, 256, 4
+#: Clusters of at most this many documents are joined whole; larger ones are dealt out in pieces of so many documents and shingles, which meet two
+#: by two. Columns of shared shingles are multiplied so many at a time.
+SMALL, BLOCK, PIECE, COLUMNS = 16, 512, 250_000, 4096
 #: Ids that are broadcast at most; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -35,7 +36,20 @@ class Similarity:
 
     @property
     def least_shared(self) -> int:
-        """Values shared within the k smallest of a union that a link has but for a chance of ``miss``."""
+        """Values that the sketches of a link share but for a chance of ``miss``: of the k values of the side whose sketch ends first, each is its own
+        alone with a chance of at most (1 - J) / (1 + J)."""
+        alone = (100 - self.percent) / (100 + self.percent)
+        p, upto = (1 - alone) ** self.k, 0.0
+        for x in range(self.k):
+            upto += p
+            if 1 - upto <= self.miss / 2:
+                return self.k - x
+            p *= (self.k - x) / (x + 1) * alone / (1 - alone)
+        return 0
+
+    @property
+    def least_in_union(self) -> int:
+        """Values shared among the k smallest of a union that a link has but for a chance of ``miss``."""
         j, p, below = self.percent / 100, (1 - self.percent / 100) ** self.k, 0.0
         for x in range(self.k):
             below += p
@@ -91,24 +105,23 @@ def semi(rows: DataFrame, ids: DataFrame, n: int, key: str = "doc_id", how: str
 
 
 def may_link(pairs: DataFrame, known: DataFrame, how: Similarity) -> DataFrame:
-    """The pairs (a, b) that their union's sketch lets pass. Where both sets are whole in their sketches this is exact."""
+    """The pairs (a, b) that their sketches let pass: the k smallest of the union hold an unbiased estimate of the similarity, which may fall
+    short of the threshold by what chance explains. Where both sets are whole in their sketches this is exact."""
     side = lambda c, s, n: known.select(F.col("rep").alias(c), F.col("sketch").alias(s), F.col("n").alias(n))
     both = pairs.join(side("a", "sa", "na"), "a").join(side("b", "sb", "nb"), "b")
-    both = both.filter((100 * F.least("na", "nb") >= how.percent * F.greatest("na", "nb")))
-    both = both.withColumn("u", F.slice(F.array_sort(F.array_union("sa", "sb")), 1, how.k)).withColumn("x", F.size(F.array_intersect(F.array_intersect("sa", "sb"), "u")))
+    both = both.filter((100 * F.least("na", "nb") >= how.percent * F.greatest("na", "nb"))).withColumn("i", F.array_intersect("sa", "sb"))
+    u = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, how.k)
     exact = (F.col("na") <= how.k) & (F.col("nb") <= how.k)
-    i = F.size(F.array_intersect("sa", "sb"))
-    passes = F.when(exact, 100 * i >= how.percent * (F.col("na") + F.col("nb") - i)).otherwise(F.col("x") >= how.least_shared)
+    i = F.size("i")
+    passes = F.when(exact, 100 * i >= how.percent * (F.col("na") + F.col("nb") - i)).otherwise(F.size(F.array_intersect("i", u)) >= how.least_in_union)
     return both.filter(passes).select("a", "b").distinct()
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, how: Similarity) -> DataFrame:
-    """The pairs whose whole sets link; only the sets of documents in a pair are made."""
-    ids = cut(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
-    sets = cut(whole_sets(semi(docs, ids, ids.count()), how).distinct())
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose whole sets link."""
     both = pairs.join(sets.select(F.col("doc").alias("a"), F.col("set").alias("s")), "a").join(sets.select(F.col("doc").alias("b"), F.col("set").alias("t")), "b")
     i = F.size(F.array_intersect("s", "t"))
-    return both.filter(100 * i >= how.percent * (F.size("s") + F.size("t") - i)).select("a", "b").distinct()
+    return both.filter(100 * i >= percent * (F.size("s") + F.size("t") - i)).select("a", "b").distinct()
 
 
 def postings(known: DataFrame, how: Similarity) -> DataFrame:
@@ -126,74 +139,85 @@ def postings(known: DataFrame, how: Similarity) -> DataFrame:
     return mine.withColumn("rare", rare.cast("int")).filter("rare > 0").select(F.explode(F.expr("slice(s, 1, rare)")).alias("p"), "rep", "weight").select("p.v", "rep", "weight")
 
 
-def with_size(lists: DataFrame) -> DataFrame:
-    return lists.join(lists.groupBy("v").agg(F.count("*").alias("size")).filter("size > 1"), "v")
+def clusters(lists: DataFrame) -> DataFrame:
+    """``pivot, rep, size``: each list's documents under its pivot, the document of the greatest weight. Lists of one group of copies have the same few
+    pivots, so a document stands in a few clusters rather than in dozens of lists, and two that share a list share its cluster."""
+    pivots = lists.groupBy("v").agg(F.max(F.struct("weight", (-F.col("rep")).alias("m"))).alias("p"), F.count("*").alias("size")).filter("size > 1").select("v", (-F.col("p.m")).alias("pivot"))
+    members = lists.select("v", "rep").join(pivots, "v").select("pivot", "rep").distinct()
+    return members.join(members.groupBy("pivot").agg(F.count("*").alias("size")), "pivot")
+
+
+def pairs_of(small: DataFrame) -> DataFrame:
+    """Pairs within small clusters: at most SMALL - 1 for each membership."""
+    a, b = small.select("pivot", F.col("rep").alias("a")), small.select("pivot", F.col("rep").alias("b"))
+    return a.join(b, "pivot").filter("a < b").select("a", "b").distinct()
 
 
-def pairs_of(lists: DataFrame) -> DataFrame:
-    """Pairs within short lists, of documents that are not yet in one component."""
-    left = lists.select("v", F.col("rep").alias("a"), F.col("c").alias("ca"))
-    return left.join(lists.select("v", F.col("rep").alias("b"), F.col("c").alias("cb")), "v").filter("a < b and ca <> cb").select("a", "b").distinct()
+def forest(i: np.ndarray, j: np.ndarray) -> tuple[list[int], list[int]]:
+    """Pairs that join what the links i-j join, fewer than there are nodes."""
+    up: dict[int, int] = {}
 
+    def root(a: int) -> int:
+        while up.setdefault(a, a) != a:
+            up[a] = up[up[a]]
+            a = up[a]
+        return a
 
-def in_blocks(lists: DataFrame, known: DataFrame, how: Similarity) -> DataFrame:
-    """Pairs of long lists that pivots did not settle: pieces of a list meet two by two, and a piece gives only pairs that share enough."""
-    n = lists.groupBy("v").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("pieces"))
-    dealt = lists.join(n, "v").withColumn("own", F.pmod(F.xxhash64("rep", "v"), F.col("pieces")).cast("int"))
+    for a, b in zip(i.tolist(), j.tolist(), strict=True):
+        a, b = root(a), root(b)
+        if a != b:
+            up[max(a, b)] = min(a, b)
+    found = [(root(a), a) for a in up]
+    return [a for a, b in found if a != b], [b for a, b in found if a != b]
+
+
+def linked_in_pieces(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: pairs that join what the links within large clusters join, decided on whole sets.
+
+    A cluster is dealt out in pieces, each of which meets every other once, in a group of its own; a product of 0/1 rows over the shingles that
+    the group shares counts intersections. A group gives a spanning forest of its links, never the pairs."""
+    dealt = large.select("pivot", "rep").join(sets.select(F.col("doc").alias("rep"), "set"), "rep")
+    n = large.select("pivot", "rep").join(sets.select(F.col("doc").alias("rep"), F.size("set").alias("n")), "rep").groupBy("pivot").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / PIECE)).cast("int").alias("pieces"))
+    dealt = dealt.join(n, "pivot").withColumn("own", F.pmod(F.xxhash64("rep", "pivot"), F.col("pieces")).cast("int"))
     meets = F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda q: F.struct(F.least(q, F.col("own")).alias("p"), F.greatest(q, F.col("own")).alias("q")))
-    dealt = dealt.withColumn("m", F.explode(meets)).select("v", "rep", "c", "own", "m.p", "m.q").join(known.select("rep", "n", "sketch"), "rep")
-    least = how.least_shared
+    dealt = dealt.withColumn("m", F.explode(meets)).select("pivot", "m.p", "m.q", "own", "rep", "set")
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, c, own, size = (pdf[x].to_numpy() for x in ("rep", "c", "own", "n"))
-        _, at = np.unique(np.concatenate(pdf["sketch"].to_list()), return_inverse=True)
-        has = np.zeros((len(pdf), int(at.max()) + 1), np.float32)
-        has[np.repeat(np.arange(len(pdf)), pdf["sketch"].map(len)), at] = 1
-        need = np.where(size <= how.whole, np.ceil(size * how.percent / 100), least)
-        alone = pdf["p"].iloc[0] == pdf["q"].iloc[0]
-        ok = (has @ has.T >= np.minimum(need[:, None], need[None, :])) & (c[:, None] != c[None, :]) & (ids[:, None] < ids[None, :])
-        i, j = np.nonzero(ok if alone else ok & (own[:, None] != own[None, :]))
-        return pd.DataFrame({"a": ids[i], "b": ids[j]})
-
-    return dealt.groupBy("v", "p", "q").applyInPandas(work, "a long, b long").distinct()
+        ids, own, size = pdf["rep"].to_numpy(), pdf["own"].to_numpy(), pdf["set"].map(len).to_numpy()
+        values, at, n = np.unique(np.concatenate(pdf["set"].to_list()), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(pdf)), size)
+        shared = n[at] > 1
+        column = (np.cumsum(n > 1) - 1)[at[shared]]
+        row, order = row[shared], np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        common = np.zeros((len(pdf), len(pdf)), np.float32)
+        for k in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+            a, b = np.searchsorted(column, [k, k + COLUMNS])
+            has = np.zeros((len(pdf), COLUMNS), np.float32)
+            has[row[a:b], column[a:b] - k] = 1
+            common += has @ has.T
+        ok = 100 * common >= percent * (size[:, None] + size[None, :] - common)
+        i, j = np.nonzero(np.triu(ok, 1))
+        if pdf["p"].iloc[0] != pdf["q"].iloc[0]:
+            i, j = i[own[i] != own[j]], j[own[i] != own[j]]
+        a, b = forest(ids[i], ids[j])
+        return pd.DataFrame({"a": a, "b": b}, dtype="int64")
+
+    return dealt.groupBy("pivot", "p", "q").applyInPandas(work, "a long, b long")
 
 
 def link_classes(docs: DataFrame, known: DataFrame, how: Similarity) -> DataFrame:
     """``rep, component`` of the sets that link with another. ``known``: one row for each distinct set, ``rep, n, print, sketch``.
 
-    Links settle in rounds: short lists are joined whole, long ones by their pivot, the document of the greatest weight; once documents are
-    in one component, nothing compares them again. What pivots leave in long lists is compared in blocks: no pair is dropped."""
-    fresh = with_size(postings(known, how)).withColumn("c", F.col("rep"))
-    lists = cut(fresh.select("v", "rep", "weight", "c", "size"))
-    links, joined = None, None
-    for k in range(PIVOT_ROUNDS + 1):
-        short, long = lists.filter(F.col("size") <= SMALL), lists.filter(F.col("size") > SMALL)
-        pairs = pairs_of(short)
-        rest = None
-        if long.isEmpty():
-            pass
-        elif k == PIVOT_ROUNDS:
-            pairs = pairs.unionByName(in_blocks(long, known, how))
-        else:
-            pivots = long.groupBy("v").agg(F.max(F.struct("weight", (-F.col("rep")).alias("m"), "c")).alias("p")).select("v", (-F.col("p.m")).alias("pivot"), F.col("p.c").alias("pc"))
-            rest = long.join(pivots, "v").filter("rep <> pivot")
-            pairs = pairs.unionByName(rest.filter("c <> pc").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")))
-        found = cut(may_link(cut(pairs.distinct()), known, how))
-        if not found.isEmpty():
-            good = cut(confirm(found, docs, how))
-            links = good if links is None else links.unionByName(good)
-            joined = components(links)
-        if rest is None:
-            break
-        left = rest.select("v", "rep", "weight")
-        left = left.withColumn("c", F.col("rep")) if joined is None else left.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("v", "rep", "weight", F.coalesce("component", "rep").alias("c"))
-        open_lists = left.groupBy("v").agg(F.count("*").alias("size"), F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("v", "size")
-        lists = cut(left.join(open_lists, "v"))
-        if lists.isEmpty():
-            break
-    if joined is None:
-        return known.select("rep", F.col("rep").alias("component")).limit(0)
-    return joined.select(F.col("node").alias("rep"), "component")
+    Small clusters are joined whole, filtered by their sketches and confirmed on their sets; large ones are decided on their sets in pieces.
+    No pair that shares a list is left out, whatever the size of a group."""
+    found = cut(clusters(cut(postings(known, how))))
+    pairs = cut(may_link(pairs_of(found.filter(F.col("size") <= SMALL)), known, how))
+    large = found.filter(F.col("size") > SMALL)
+    ids = cut(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).unionByName(large.select(F.col("rep").alias("doc_id"))).distinct())
+    sets = cut(whole_sets(semi(docs, ids, ids.count()), how).distinct())
+    links = confirm(pairs, sets, how.percent).unionByName(linked_in_pieces(large, sets, how.percent))
+    return components(links).select(F.col("node").alias("rep"), "component")
 
 
 def near_documents(docs: DataFrame, how: Similarity = Similarity()) -> DataFrame:
