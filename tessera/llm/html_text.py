@@ -1,8 +1,8 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped so that each block element is a line. Text lengths are summed over sliding windows of lines; a window sum that rises
-over the threshold is a surge point, one that falls back is a dive point, and the lines between them are kept. Lines inside navigation,
-notices, forms and the like weigh nothing, so they end a run of text and are never kept.
+Markup is stripped so that each block element is a line, and with it the lines inside navigation, notices, forms and the like. Text lengths are
+summed over sliding windows of lines; a window sum that rises over the threshold is a surge point, one that falls back is a dive point,
+and the lines between them are kept.
 """
 
 from __future__ import annotations
@@ -97,27 +97,19 @@ def lines_of(page: str) -> list[tuple[str, bool]]:
 def main_text(page: str | None, window: int = 3, floor: int = 40, share: float = 0.1) -> str:
     """The lines between surge and dive points, joined by newlines.
 
-    A window of ``window`` lines has surged while its text sums to ``floor`` characters, or to ``share`` of the page's greatest sum if
-    that is less. Where the page marks articles or a main part, its lines outside them weigh nothing."""
+    Lines set apart are stripped with the markup. A window of ``window`` lines has surged while its text sums to ``floor`` characters, or to
+    ``share`` of the page's greatest sum if that is less; a line is kept if a window that holds it has surged. Where the page marks articles or
+    a main part, only that part is read, and all its lines are kept."""
     if not page:
         return ""
-    lines = lines_of(marked if (marked := article_of(page)) is not None else page)
-    weight = [0 if apart else len(line) for line, apart in lines]
-    sums = [sum(weight[k : k + window]) for k in range(len(weight))]
+    part = article_of(page)
+    lines = [line for line, apart in lines_of(page if part is None else part) if not apart]
+    if part is not None:
+        return "\n".join(lines)
+    n = [len(line) for line in lines]
+    sums = [sum(n[max(0, k) : k + window]) for k in range(1 - window, len(n))]
     need = min(floor, share * max(sums, default=0))
-    kept, k = [], 0
-    while k < len(lines):
-        if weight[k] == 0:
-            k += 1
-            continue
-        stop = k  # a run of text up to the next line that weighs nothing
-        while stop < len(lines) and weight[stop]:
-            stop += 1
-        surge = next((j for j in range(k, stop) if sums[j] >= need), None)
-        if surge is not None:
-            kept += [line for line, _ in lines[surge:stop]]
-        k = stop
-    return "\n".join(kept)
+    return "\n".join(line for k, line in enumerate(lines) if max(sums[k : k + window]) >= need)
 
 
 ARTICLE = re.compile(r"<(article|main)\b", re.I)

@@ -82,8 +82,14 @@ def fit_markov(docs: DataFrame, n_docs: int = TRAIN_DOCS, drawn: int = DRAWN, se
     for r in counts.groupBy("at").agg(F.sum("secret").alias("s"), F.sum("plain").alias("p")).toLocalIterator():
         secret[r["at"]] += r["s"]
         plain[r["at"]] += r["p"]
-    as_rows = lambda c: np.log((c.reshape(SIZE, SIZE) + 0.5) / (c.reshape(SIZE, SIZE) + 0.5).sum(1, keepdims=True))
-    return as_rows(secret) - as_rows(plain)
+    return log_rows(secret) - log_rows(plain)
+
+
+def log_rows(counts: np.ndarray, weight: float = 4.0) -> np.ndarray:
+    """Log-probabilities of the second character after the first, drawn to the characters' own frequencies where pairs are few."""
+    c = counts.reshape(SIZE, SIZE).astype(np.float64)
+    single = (c.sum(0) + 0.5) / (c.sum(0) + 0.5).sum()
+    return np.log((c + weight * single) / (c.sum(1, keepdims=True) + weight))
 
 
 def ratio(token: str, model: np.ndarray) -> float:

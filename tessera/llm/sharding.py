@@ -1,7 +1,8 @@
 """Sharding by proportional stratified interleaving, with DataFrame functions only.
 
-Rows of each source are shuffled by a seeded hash and ranked; a row's fractional rank (rank - 1/2) / (rows of its source) places it in
-one common order in which every stretch holds the sources in their proportions; equal cuts of that order are the shards.
+Rows of each source are shuffled by a seeded hash and ranked; a row's fractional rank (rank - u) / (rows of its source) places it in one
+common order in which every stretch holds the sources in their proportions; equal cuts of that order are the shards. The offset u, in 0..1, is
+the source's own, from a seeded hash, lest sources of like size step together and push the others' rows across a cut.
 
 Law: ``rows``. Shard sizes in rows differ by one at most; equal texts are not held together, as a group of copies may be larger than a shard.
 """
@@ -37,7 +38,8 @@ def interleave_shards(docs: DataFrame, n_shards: int = 8, seed: int = 20) -> Dat
     in_slice = Window.partitionBy("stratum", "slice").orderBy("h", "doc_id", "text_crc32", "size")
     ranked = d.withColumn("rn", F.row_number().over(in_slice)).join(before, ["stratum", "slice"])
     ranked = ranked.select("doc_id", "size", "text_crc32", "stratum", "h", (F.col("rn") + F.col("before")).alias("source_rank"), "of")
-    ranked = ranked.withColumn("fraction", (F.col("source_rank") - F.lit(0.5)) / F.col("of"))
+    offset = (F.pmod(F.xxhash64(F.lit(seed), "stratum"), F.lit(1 << 20)) + F.lit(0.5)) / F.lit(float(1 << 20))
+    ranked = ranked.withColumn("fraction", (F.col("source_rank") - offset) / F.col("of"))
     ranked = cut(ranked.withColumn("part", F.floor(F.col("fraction") * RANK_SLICES).cast("int")))
     parts = ranked.groupBy("part").agg(F.count("*").alias("n"))
     everything = Window.orderBy("part")  # RANK_SLICES rows at most

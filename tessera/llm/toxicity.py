@@ -76,7 +76,7 @@ def dense(text: str, learned: dict[str, float], lexicon: frozenset[str], collaps
 def features(texts: list[str], learned: dict[str, float]) -> np.ndarray:
     lexicon = INSULTS | frozenset(learned)
     collapsed = frozenset(map(collapse, lexicon))
-    return np.array([dense(t, learned, lexicon, collapsed) for t in texts], np.float64).reshape(len(texts), -1)
+    return np.array([dense(t, learned, lexicon, collapsed) for t in texts or [""]], np.float64)[: len(texts)]
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_LIMIT, seed: int = 4) -> ToxicityModel:
@@ -106,7 +106,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_LIMIT, s
             yield pd.DataFrame({"doc_id": b["doc_id"], "label": b["label"], "x": list(features([t or "" for t in b["text"]], learned))})
 
     got = sorted((r["doc_id"], r["label"], r["x"]) for r in rows.select("doc_id", "label", "text").mapInPandas(work, "doc_id long, label int, x array<double>").collect())
-    x = np.array([r[2] for r in got]).reshape(len(got), -1)
+    x = np.array([r[2] for r in got]).reshape(len(got), features([""], learned).shape[1])
     return ToxicityModel(learned, *calibrated_trees(x, np.array([r[1] for r in got], np.float64)))
 
 
