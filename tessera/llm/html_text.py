@@ -25,7 +25,11 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose lines weigh nothing, and words in class, id or role that say the same of any element.
 APART = frozenset("nav aside footer form head menu dialog button search".split())
-APART_NAMES = re.compile(r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|breadcrumbs?|sidebars?|side|aside|footer|banner|ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?|cookies?|consent|notices?|gdpr|privacy|popup|modal|overlay|newsletter|subscribe|signup|login|search|share|sharing|social|related|recommended|recommendations|comments?|comment-list|replies|respond|disqus|toolbar|pagination|pager|widget|complementary|contentinfo|alert|masthead|topbar|skip)(?:$|[\s_-])", re.I)
+APART_NAMES = re.compile(r"(?<!has)(?<!with)(?<!no)(?:^|[\s_-])(?:nav|navbar|navigation|menu|breadcrumbs?|sidebars?|side|aside|footer|banner|ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?|cookies?|consent|notices?|gdpr|privacy|popup|modal|overlay|newsletter|subscribe|signup|login|search|share|sharing|social|related|recommended|recommendations|comments?|comment-list|replies|respond|disqus|toolbar|pagination|pager|widget|complementary|contentinfo|alert|masthead|topbar|skip)(?:$|[\s_-])", re.I)
+#: The same, of whole names, outside articles; and of articles, which are apart only as comments.
+HEADER_NAMES = re.compile(r"(?:^|\s)(?:(?:site|page|top|main|global)[_-]?)?header(?:$|\s)", re.I)
+COMMENT_NAMES = re.compile(r"(?:^|[\s_-])(?:comments?|reply|replies)(?:$|[\s_-])", re.I)
+HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 #: A start tag of the key ends an open element of the value's kind (end tags that HTML lets one leave out).
 CLOSES_P = BLOCK - frozenset("body head html td th tr caption tbody thead tfoot option legend".split())
@@ -83,8 +87,10 @@ def lines_of(page: str) -> list[tuple[str, bool]]:
                         break
             inside = stack[-1][1] if stack else False
             names = " ".join(next(filter(None, x), "") for x in NAMES.findall(m[3])) if m[3] else ""
-            header = name == "header" and not any(x in ("article", "main") for x, _ in stack)
-            now = inside or name in APART or header or (name not in ("html", "body", "article", "main") and bool(names) and bool(APART_NAMES.search(names)))
+            names = HUMP.sub("-", names)
+            header = (name == "header" or bool(HEADER_NAMES.search(names))) and not any(x in ("article", "main") for x, _ in stack)
+            named = COMMENT_NAMES if name in ("article", "main") else APART_NAMES
+            now = inside or name in APART or (name not in ("html", "body") and (header or bool(named.search(names))))
             if now != inside:
                 flush()
             if not m[3].endswith("/"):
