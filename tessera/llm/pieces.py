@@ -28,9 +28,11 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 SPACES = re.compile(" +[^ ]*")
 #: Code points of texts whose units are found and encoded together: the distinct units of so much text are one row's array.
-BATCH = 16_000_000
+BATCH = 14_000_000
 #: Units up to this length are folded with a 64-bit mask of their boundaries; longer ones by the same merges with a heap.
 MASK = 60
+#: Bits of a unit's number in its batch: a batch has fewer units than code points.
+UNIT_BITS = 23
 
 
 @dataclass(frozen=True)
@@ -272,25 +274,47 @@ class Packer:
         self.size += len(text) + 1
 
     def close(self) -> tuple[bytes, list[str]]:
-        """The batch's body, and its distinct units but for characters of no piece."""
-        numbers = np.concatenate([*self.numbers, np.zeros(0, np.int32)])
-        order = np.argsort(-np.bincount(numbers, minlength=len(self.words)), kind="stable")  # frequent words get small numbers
+        """The batch's body, and its distinct units but for characters of no piece. What was gathered is let go on the way."""
+        numbers, self.numbers = np.concatenate([*self.numbers, np.zeros(0, np.int32)]), []
+        words, self.words = list(self.words), {}
+        order = np.argsort(-np.bincount(numbers, minlength=len(words)), kind="stable")  # frequent words get small numbers
         place = np.empty(len(order), np.int32)
         place[order] = np.arange(len(order))
-        words = list(self.words)
-        words = [SPACE + words[k].replace(" ", SPACE) for k in order.tolist()]
+        numbers = streams(place[numbers])
         units: dict[str, int] = {}
-        cuts, per_word = self.cutter.words(words)
-        of = self.cutter.of
-        # a character of no piece is a unit of its own: minus its code point less one
-        parts = np.array([units.setdefault(u, len(units)) if len(u) > 1 or of[ord(u)] else -ord(u) - 1 for u in cuts], np.int32)
-        planes = lambda x: np.ascontiguousarray(x.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes()
-        body = zstandard.compress(pickle.dumps((list(units), self.ids, self.exact, self.counts, planes(place[numbers]), planes(per_word), planes(parts))), 3)
-        return body, list(units)
+        of, parts, per_word = self.cutter.of, [], []
+        for k in range(0, len(order), 8192):
+            cuts, n = self.cutter.words([SPACE + words[j].replace(" ", SPACE) for j in order[k : k + 8192].tolist()])
+            # a character of no piece is a unit of its own: minus its code point less one
+            parts.append(np.array([units.setdefault(u, len(units)) if len(u) > 1 or of[ord(u)] else -ord(u) - 1 for u in cuts], np.int32))
+            per_word.append(n.astype(np.int32))
+        parts, per_word = (np.concatenate([*x, np.zeros(0, np.int32)]) for x in (parts, per_word))
+        names = list(units)
+        body = pickle.dumps((names, self.ids, self.exact, self.counts, numbers, streams(per_word), streams(np.where(parts < 0, len(names), parts)), parts[parts < 0]))
+        self.clear()
+        return zstandard.compress(body, 3), names
+
 
+def streams(x: np.ndarray) -> tuple[bytes, ...]:
+    """Non-negative numbers by size, a byte for each one's class and its bytes in streams of the class: alike bytes stand together to be compressed."""
+    kind = (x >= 1 << 7).astype(np.uint8) + (x >= 1 << 11) + (x >= 1 << 15)
+    out = [kind.tobytes()]
+    for k, n in enumerate((1, 2, 2, 4)):
+        part = x[kind == k]
+        out += [((part >> 8 * j) & 255).astype(np.uint8).tobytes() for j in range(n)]
+    return tuple(out)
 
-def unplane(b: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view("<i4").ravel()
+
+def unstream(parts: tuple[bytes, ...]) -> np.ndarray:
+    kind, at = np.frombuffer(parts[0], np.uint8), 1
+    out = np.zeros(len(kind), np.int32)
+    for k, n in enumerate((1, 2, 2, 4)):
+        value = np.frombuffer(parts[at], np.uint8).astype(np.int32)
+        for j in range(1, n):
+            value |= np.frombuffer(parts[at + j], np.uint8).astype(np.int32) << 8 * j
+        out[kind == k] = value
+        at += n
+    return out
 
 
 def pack(docs: DataFrame, model: PieceModel) -> DataFrame:
@@ -302,7 +326,6 @@ def pack(docs: DataFrame, model: PieceModel) -> DataFrame:
 
         def close() -> pd.DataFrame:
             body, units = packer.close()
-            packer.clear()
             return pd.DataFrame({"batch": [batch], "body": [body], "units": [units]})
 
         for b in batches:
@@ -325,18 +348,13 @@ def ragged(flat: np.ndarray, start: np.ndarray, size: np.ndarray, which: np.ndar
 
 def unpack(body: bytes, u: np.ndarray, flat: np.ndarray, lengths: np.ndarray, m: PieceModel, rank: dict) -> Iterator[pa.RecordBatch]:
     """The encoded documents of a batch: from the ids ``flat`` of the units numbered ``u``, as many each as ``lengths`` says."""
-    units, ids, exact, counts, numbers, per_word, parts = pickle.loads(zstandard.decompress(body))
-    numbers, per_word, parts = unplane(numbers), unplane(per_word).astype(np.int64), unplane(parts).astype(np.int64)
+    units, ids, exact, counts, numbers, per_word, parts, odd = pickle.loads(zstandard.decompress(body))
+    numbers, per_word, parts = unstream(numbers), unstream(per_word).astype(np.int64), unstream(parts).astype(np.int64)
+    parts[parts == len(units)] = odd
     have = np.zeros(len(units), bool)
     have[u] = True
-    more = {}
-    for c in np.unique(np.concatenate([parts[parts < 0], flat[flat < 0]])).tolist():
-        more[c] = m.fallback(chr(-c - 1))
-    if (flat < 0).any():  # characters without a piece within units
-        for k, p in zip(u.tolist(), np.split(flat, np.cumsum(lengths)[:-1]), strict=True):
-            if (p < 0).any():
-                more[k] = [y for x in p.tolist() for y in (more[x] if x < 0 else [x])]
-    for k in np.flatnonzero(~have).tolist():  # units over MASK, and those of which no character has a piece
+    more = {c: m.fallback(chr(-c - 1)) for c in np.unique(parts[parts < 0]).tolist()}
+    for k in np.flatnonzero(~have).tolist():  # units over MASK, and those with a character that has no piece
         more[k] = merge(units[k], rank, m) if m.bpe else best_path(units[k], rank, m)
     flat = np.concatenate([flat, *(np.array(v, np.int64) for v in more.values())]).astype(np.int32)
     lengths = np.concatenate([lengths, [len(v) for v in more.values()]]).astype(np.int64)
@@ -376,22 +394,33 @@ def encode(docs: DataFrame, model: PieceModel) -> DataFrame:
     plain join whose skewed partitions Spark splits. Batches are made twice, once for their units and once for their texts, rather than kept."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     packed = pack(docs, model)
-    some = F.coalesce("batch", F.lit(0).cast("long"))  # never null: no filter that would part the two uses of the shuffle
-    units = packed.select(some.alias("batch"), F.posexplode("units").alias("u", "unit")).select("batch", "u", F.coalesce("unit", F.lit("")).alias("unit")).repartition("unit")
-    short = units.select("unit").distinct().filter(F.length("unit") <= MASK)
-    back = units.join(fold(short, model), "unit").groupBy("batch").agg(F.collect_list(F.struct("u", "ids")).alias("found"))
+    # never null, lest a filter part the two uses of the shuffle by unit; and both uses need both columns
+    batch, unit = F.coalesce("batch", F.lit(0).cast("long")), F.coalesce("unit", F.lit(""))
+    spots = packed.select(batch.alias("batch"), F.posexplode("units").alias("u", "unit")).select((F.col("batch") * (1 << UNIT_BITS) + F.col("u")).alias("spot"), unit.alias("unit"))
+    spots = spots.filter(F.length("unit") <= MASK).repartition("unit")
+    distinct = spots.groupBy("unit").agg(F.min("spot").alias("first")).filter("first >= 0").select("unit")
+    known = fold(distinct, model)
+    # ids go back in numbers: of the unit in its batch, of the place in the unit, and one or two ids
+    each, width = (2, 16) if max(model.spelled, default=0) < 1 << 16 else (1, 32)
+    place = lambda k: F.coalesce(F.get("ids", each * k), F.lit(0)).cast("long") * (1 << (32 - width)) + (F.coalesce(F.get("ids", each * k + 1) + 1, F.lit(0)) if each == 2 else F.lit(0))
+    numbers = F.transform(F.sequence(F.lit(0), F.ceil(F.size("ids") / each).cast("int") - 1), lambda k: F.col("spot").bitwiseAND(F.lit((1 << UNIT_BITS) - 1)) * (1 << 40) + k.cast("long") * (1 << 32) + place(k))
+    # a unit with a character that has no piece is left to the batch; said here, above the join, as a filter would be pushed into the fold
+    numbers = F.when(F.exists("ids", lambda i: i < 0), F.array().cast("array<bigint>")).otherwise(numbers)
+    back = spots.join(known, "unit").select(F.shiftright("spot", UNIT_BITS).alias("batch"), F.explode(numbers).alias("x")).groupBy("batch").agg(F.collect_list("x").alias("found"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         rank = {p: (r, i) for p, i, r in m.pieces} if m.bpe else {p: (s, i) for (p, i, _), s in zip(m.pieces, m.scores, strict=True)}
         for b in batches:
             for row in range(b.num_rows):
-                got = b.column("found").slice(row, 1).flatten()
-                ids = got.field("ids")
-                yield from unpack(b.column("body")[row].as_py(), got.field("u").to_numpy(), ids.flatten().to_numpy(), np.diff(ids.offsets.to_numpy()), m, rank)
-
-    bodies = packed.select(some.alias("batch"), "body")
-    rows = bodies.join(back, "batch", "left").select("body", F.coalesce("found", F.array().cast("array<struct<u:int,ids:array<int>>>")).alias("found"))
+                x = np.sort(b.column("found").slice(row, 1).flatten().to_numpy())
+                low = x & 0xFFFFFFFF
+                ids = np.stack([low >> 16, (low & 0xFFFF) - 1], 1) if each == 2 else low[:, None]
+                n = (ids >= 0).sum(1)
+                u, first = np.unique(x >> 40, return_index=True)
+                yield from unpack(b.column("body")[row].as_py(), u, ids[ids >= 0], np.add.reduceat(n, first) if len(x) else n, m, rank)
+
+    rows = packed.select(batch.alias("batch"), "body").join(back, "batch", "left").select("body", F.coalesce("found", F.array().cast("array<bigint>")).alias("found"))
     return rows.mapInArrow(work, "doc_id long, n_tokens int, ids array<int>, round_trip boolean")
 
 
