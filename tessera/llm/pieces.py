@@ -11,6 +11,7 @@ from __future__ import annotations
 import heapq
 import pickle
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -90,6 +91,7 @@ class Cutter:
 
     def __init__(self, model: PieceModel) -> None:
         chars = sorted({c for p, _, _ in model.pieces for c in p})
+        self.bare = set(chars) - {p for p, _, _ in model.pieces}  # characters that are no piece by themselves
         self.of = np.zeros(0x110000, np.uint16)
         for k, c in enumerate(chars):
             self.of[ord(c)] = k + 1
@@ -255,11 +257,11 @@ class Packer:
         self.clear()
 
     def clear(self) -> None:
-        self.ids, self.exact, self.counts, self.numbers, self.words, self.size = [], [], [], [], {}, 0
+        self.ids, self.sums, self.counts, self.numbers, self.words, self.size = [], [], [], [], {}, 0
 
     def add(self, doc_id: int | None, text: str) -> None:
         words, n = self.words, len(self.words)
-        self.exact.append(SPACE not in text)
+        self.sums.append(zlib.crc32(text.encode()))
         text = text.replace(SPACE, " ")
         if not text:
             parts = []
@@ -289,8 +291,9 @@ class Packer:
             parts.append(np.array([units.setdefault(u, len(units)) if len(u) > 1 or of[ord(u)] else -ord(u) - 1 for u in cuts], np.int32))
             per_word.append(n.astype(np.int32))
         parts, per_word = (np.concatenate([*x, np.zeros(0, np.int32)]) for x in (parts, per_word))
-        names = list(units)
-        body = pickle.dumps((names, self.ids, self.exact, self.counts, numbers, streams(per_word), streams(np.where(parts < 0, len(names), parts)), parts[parts < 0]))
+        names, bare = list(units), self.cutter.bare
+        own = {k: u for k, u in enumerate(names) if len(u) > MASK or (bare and not bare.isdisjoint(u))}  # those that the lattice may give no ids
+        body = pickle.dumps((len(names), own, self.ids, self.sums, self.counts, numbers, streams(per_word), streams(np.where(parts < 0, len(names), parts)), parts[parts < 0]))
         self.clear()
         return zstandard.compress(body, 3), names
 
@@ -318,7 +321,7 @@ def unstream(parts: tuple[bytes, ...]) -> np.ndarray:
 
 
 def pack(docs: DataFrame, model: PieceModel) -> DataFrame:
-    """``batch, body, units``: batches of texts as numbers with their units, and these units once more to work on. The same input gives the same batches."""
+    """``batch, body, units``: batches of texts as numbers, and the distinct units of each. The same input gives the same batches."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -348,28 +351,27 @@ def ragged(flat: np.ndarray, start: np.ndarray, size: np.ndarray, which: np.ndar
 
 def unpack(body: bytes, u: np.ndarray, flat: np.ndarray, lengths: np.ndarray, m: PieceModel, rank: dict) -> Iterator[pa.RecordBatch]:
     """The encoded documents of a batch: from the ids ``flat`` of the units numbered ``u``, as many each as ``lengths`` says."""
-    units, ids, exact, counts, numbers, per_word, parts, odd = pickle.loads(zstandard.decompress(body))
+    n_units, own, ids, sums, counts, numbers, per_word, parts, odd = pickle.loads(zstandard.decompress(body))
     numbers, per_word, parts = unstream(numbers), unstream(per_word).astype(np.int64), unstream(parts).astype(np.int64)
-    parts[parts == len(units)] = odd
-    have = np.zeros(len(units), bool)
+    parts[parts == n_units] = odd
+    have = np.zeros(n_units, bool)
     have[u] = True
     more = {c: m.fallback(chr(-c - 1)) for c in np.unique(parts[parts < 0]).tolist()}
     for k in np.flatnonzero(~have).tolist():  # units over MASK, and those with a character that has no piece
-        more[k] = merge(units[k], rank, m) if m.bpe else best_path(units[k], rank, m)
+        more[k] = merge(own[k], rank, m) if m.bpe else best_path(own[k], rank, m)
     flat = np.concatenate([flat, *(np.array(v, np.int64) for v in more.values())]).astype(np.int32)
     lengths = np.concatenate([lengths, [len(v) for v in more.values()]]).astype(np.int64)
     u = np.concatenate([u, list(more)]).astype(np.int64)
     low = min(0, int(u.min(initial=0)))
-    start, size = np.zeros(len(units) - low, np.int64), np.zeros(len(units) - low, np.int64)
+    start, size = np.zeros(n_units - low, np.int64), np.zeros(n_units - low, np.int64)
     start[u - low], size[u - low] = np.cumsum(lengths) - lengths, lengths
     flat, n = ragged(flat, start, size, parts - low)  # unit after unit of each word
     word_start = np.cumsum(per_word) - per_word
     upto = np.append(0, np.cumsum(n))
     size = upto[word_start + per_word] - upto[word_start]
     start = upto[word_start]
-    said = [units[p] if p >= 0 else chr(-p - 1) for p in parts.tolist()]
-    ends = start + size
-    good = np.array([b"".join([m.spelled.get(i, b"") for i in flat[i:j].tolist()]) == "".join(said[k : k + c]).replace(SPACE, " ").encode() for i, j, k, c in zip(start.tolist(), ends.tolist(), word_start.tolist(), per_word.tolist(), strict=True)], bool)
+    spelled = m.spelled
+    said = [b"".join([spelled.get(i, b"") for i in flat[i:j].tolist()]) for i, j in zip(start.tolist(), (start + size).tolist(), strict=True)]
     last = np.cumsum(counts)
     for k in range(0, len(ids), 500):
         count = np.array(counts[k : k + 500], np.int64)
@@ -377,9 +379,10 @@ def unpack(body: bytes, u: np.ndarray, flat: np.ndarray, lengths: np.ndarray, m:
         out, n = ragged(flat, start, size, which)
         edges = np.append(0, np.cumsum(count))
         offsets = np.append(0, np.cumsum(n))[edges].astype(np.int32)
-        wrong = np.append(0, np.cumsum(~good[which]))[edges]
+        at = which.tolist()
+        same = [zlib.crc32(b"".join([said[w] for w in at[i:j]]).decode("utf-8", "replace")[1:].encode()) == x for i, j, x in zip(edges[:-1].tolist(), edges[1:].tolist(), sums[k : k + 500], strict=True)]
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(out, pa.int32()))
-        yield pa.RecordBatch.from_arrays([pa.array(ids[k : k + 500], pa.int64()), pa.array(np.diff(offsets)), lists, pa.array((np.diff(wrong) == 0) & np.array(exact[k : k + 500], bool))], ["doc_id", "n_tokens", "ids", "round_trip"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids[k : k + 500], pa.int64()), pa.array(np.diff(offsets)), lists, pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "ids", "round_trip"])
 
 
 def encode(docs: DataFrame, model: PieceModel) -> DataFrame:
