@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -175,6 +176,25 @@ def test_vectors(spark):
     assert vector_dedup.near_vectors(vectors(spark, rows).limit(0)).count() == 0
 
 
+def test_vectors_of_a_crowd(spark, tmp_path):
+    """A third of the rows are distinct near copies in one label, with many pivots among them: every link counts."""
+    n = 12000
+    r = np.random.default_rng(11)
+    x, label = r.standard_normal((n, 64)), r.integers(0, 10, n)
+    x[: n // 3], label[: n // 3] = r.standard_normal(64) + r.standard_normal((n // 3, 64)) * 0.09, 0
+    x[n - 50 :], label[n - 50 :] = x[n // 2 : n // 2 + 50] + r.standard_normal((50, 64)) * 0.05, label[n // 2 : n // 2 + 50]
+    pd.DataFrame({"vec_id": np.arange(n), "embedding": list(x.astype(np.float32)), "label": label}).to_parquet(tmp_path / "crowd.parquet")
+    rows = spark.read.parquet(str(tmp_path / "crowd.parquet"))
+    got = {g["vec_id"]: (g["n_links"], g["component_id"]) for g in vector_dedup.near_vectors(rows.repartition(8)).collect()}
+    u = x.astype(np.float32).astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    for v in range(10):
+        at = np.flatnonzero(label == v)
+        want = np.concatenate([(u[at[k : k + 512]] @ u[at].T >= 0.98).sum(1) - 1 for k in range(0, len(at), 512)])
+        assert [got[i][0] for i in at.tolist()] == want.tolist()
+    assert sum(got[i][0] for i in range(n // 3)) > (n // 3) ** 2 // 2 and all(got[n - 50 + k][1] == n // 2 + k for k in range(50))
+
+
 def test_decontamination(spark, table, none):
     item = text(300, 30)
     w = item.split()
