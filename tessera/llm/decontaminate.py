@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds join passages of documents to test items, and Smith-Waterman alignment scores them."""
+"""Benchmark decontamination: n-gram seeds join passages of documents to test items, and Smith-Waterman alignment scores them."""
 
 from __future__ import annotations
 
@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import table
 
 WORD = re.compile(r"\w+")
-#: Words of a seed. Of its seeds an item keeps the rarest KEEP of all, LEAST at least, by the number of documents that hold them.
-SEED, KEEP, LEAST = 3, 0.5, 8
+#: Words of a seed. An item keeps all its seeds: an edited or partial copy may hold any of them.
+SEED = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: An item is found from this share of its greatest score, or from a local alignment worth so many words in a row.
 SCORE, VERBATIM = 0.5, 13
@@ -47,16 +47,6 @@ class Items:
             at.append(np.arange(len(key)))
         return Items([i for i, _ in rows], words, vocabulary, *index(*(np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (keys, item, at))))
 
-    def rarest(self, df: dict[int, int]) -> Items:
-        """The same items with the seeds that each keeps."""
-        key = np.repeat(self.keys, np.diff(self.start))
-        n = np.array([df.get(int(k), 0) for k in self.keys], np.int64).repeat(np.diff(self.start))
-        order = np.lexsort((self.at, n, self.item))
-        of = np.bincount(self.item, minlength=len(self.words))
-        rank = np.arange(len(order)) - np.repeat(np.cumsum(of) - of, of)
-        kept = order[rank < np.maximum(LEAST, np.ceil(KEEP * of)).astype(np.int64)[self.item[order]]]
-        return Items(self.ids, self.words, self.vocabulary, *index(key[kept], self.item[kept], self.at[kept]))
-
     def hits(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The text's words as numbers (-1: in no item), the places of its seeds, and which keys those are."""
         get = self.vocabulary.get
@@ -143,36 +133,19 @@ def blocks(benchmark: DataFrame) -> Iterator[Items]:
         yield Items.of(rows)
 
 
-def with_rare_seeds(docs: DataFrame, items: Items) -> Items:
-    """Counts, over all documents, those that hold each seed; as many counts as the block has seeds reach the driver."""
-    held = docs.sparkSession.sparkContext.broadcast(items)
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(len(held.value.keys), np.int64)
-        for b in batches:
-            for text in b["text"]:
-                if text:
-                    total[np.unique(held.value.hits(text)[2])] += 1
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"key": held.value.keys[at], "n": total[at]})
-
-    counts = docs.select(F.col("text").cast("string")).mapInPandas(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    return items.rarest({r["key"]: r["n"] for r in counts.toLocalIterator()})
-
-
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id, item_id, score, start, end`` for each document (doc_id, text) and item (item_id, text) found in it.
 
     Words are runs of letters, digits and underscores, lower-cased. ``score`` is the Smith-Waterman score of the best alignment as a share of the item's
     greatest; start and end are its code points in the text. Null and empty texts hold nothing; items of fewer words than a seed have
     none and are never found; null ids stay null; repeated rows and items give a row each; further columns are ignored; an empty table on
-    either side gives an empty result. Maps over Arrow batches: nothing but counts of the benchmark's own seeds is shuffled, so a passage
-    that stands in a third of all documents makes no hot task, and it keeps seeds, as an item's rarest are chosen among its own."""
+    either side gives an empty result. Maps over Arrow batches without a shuffle, so a passage that stands in a third of all documents makes
+    no hot task. A copy without SEED words of the item in a row is not found."""
     out = None
     schema = "doc_id long, item_id long, score double, start long, end long"
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     for items in blocks(benchmark):
-        held = docs.sparkSession.sparkContext.broadcast(with_rare_seeds(docs, items))
+        held = docs.sparkSession.sparkContext.broadcast(items)
 
         def work(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
             for b in batches:
@@ -202,7 +175,7 @@ def free_of(items) -> Callable:
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` in which no item is found, with all their columns: a filter in place, without a join."""
     for items in blocks(benchmark):
-        held = docs.sparkSession.sparkContext.broadcast(with_rare_seeds(docs, items))
+        held = docs.sparkSession.sparkContext.broadcast(items)
         docs = docs.filter(free_of(held)(F.col("text").cast("string")))
     return docs
 

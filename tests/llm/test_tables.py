@@ -212,6 +212,21 @@ def test_decontamination(spark, table, none):
     assert decontaminate.find_leaks(none, bench).count() == 0 and decontaminate.find_leaks(d, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("every", [4, 5, None])
+def test_decontamination_of_edited_and_partial_copies(spark, every):
+    """Copies with each 4th or 5th word changed, and the first 45 %, of items some of whose seeds no document or many documents hold."""
+    items = [[f"i{k}x{x}" for x in range(40)] for k in range(20)]
+    part = [w[:18] if every is None else ["other" if x % every == every - 1 else y for x, y in enumerate(w)] for w in items]
+    fill = lambda s: " ".join(f"f{x}" for x in np.random.default_rng(s).integers(0, 10**6, 60))
+    common = [(1000 + 10 * k + m, fill(k) + " " + " ".join(w[x] for x in range(5))) for k, w in enumerate(items) for m in range(3)]
+    rows = [(k, f"{fill(k)} {' '.join(p)} {fill(k + 500)}") for k, p in enumerate(part)]
+    assert all(decontaminate.align(np.array([hash(x) for x in p]), np.array([hash(x) for x in w]))[0] >= 26 for p, w in zip(part, items, strict=True))
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    d = spark.createDataFrame(rows + common, "doc_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(d, bench).collect()} == {(k, k) for k in range(20)}
+    assert {r["doc_id"] for r in decontaminate.drop_leaks(d, bench).collect()} == {i for i, _ in common}
+
+
 def test_alignment():
     def plain(a, b):
         h = np.zeros((len(a) + 1, len(b) + 1), int)
