@@ -29,15 +29,18 @@ APART_NAMES = re.compile(r"(?<!has)(?<!with)(?<!no)(?:^|[\s_-])(?:nav|navbar|nav
 #: The same, of whole names, outside articles; and of articles, which are apart only as comments.
 HEADER_NAMES = re.compile(r"(?:^|\s)(?:(?:site|page|top|main|global)[_-]?)?header(?:$|\s)", re.I)
 COMMENT_NAMES = re.compile(r"(?:^|[\s_-])(?:comments?|reply|replies)(?:$|[\s_-])", re.I)
+#: Weight of a character in an article or main part.
+MARKED = 4
 HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 #: A start tag of the key ends an open element of the value's kind (end tags that HTML lets one leave out).
 CLOSES_P = BLOCK - frozenset("body head html td th tr caption tbody thead tfoot option legend".split())
 
 
-def lines_of(page: str) -> list[tuple[str, bool]]:
-    """The page's lines in order: text with references decoded and white space made one space, and whether it stands in a part set apart."""
-    out: list[tuple[str, bool]] = []
+def lines_of(page: str) -> list[tuple[str, bool, bool, bool]]:
+    """The page's lines in order: text with references decoded and white space made one space, and whether it stands in a part set apart, in
+    an article, and in a main part."""
+    out: list[tuple[str, bool, bool, bool]] = []
     text: list[str] = []
     stack: list[tuple[str, bool]] = []  # open elements, and whether they or one around them are set apart
     apart = False
@@ -47,7 +50,7 @@ def lines_of(page: str) -> list[tuple[str, bool]]:
             line = " ".join(html.unescape("".join(text)).split())
             text.clear()
             if line:
-                out.append((line, apart))
+                out.append((line, apart, any(x == "article" for x, _ in stack), any(x == "main" for x, _ in stack)))
 
     at, end = 0, len(page)
     while at < end:
@@ -104,33 +107,26 @@ def main_text(page: str | None, window: int = 3, floor: int = 40, share: float =
     """The lines between surge and dive points, joined by newlines.
 
     Lines set apart are stripped with the markup. A window of ``window`` lines has surged while its text sums to ``floor`` characters, or to
-    ``share`` of the page's greatest sum if that is less; a line is kept if a window that holds it has surged. Where the page marks articles or
-    a main part, only that part is read, and all its lines are kept."""
+    ``share`` of the page's greatest sum if that is less; a line is kept if a window that holds it has surged. Where the page marks articles
+    or a main part that hold most of its text, the windows run within that bound, where a character weighs MARKED times."""
     if not page:
         return ""
-    part = article_of(page)
-    lines = [line for line, apart in lines_of(page if part is None else part) if not apart]
-    if part is not None:
-        return "\n".join(lines)
-    n = [len(line) for line in lines]
+    lines, weight = bounded([x for x in lines_of(page) if not x[1]])
+    n = [weight * len(line) for line in lines]
     sums = [sum(n[max(0, k) : k + window]) for k in range(1 - window, len(n))]
     need = min(floor, share * max(sums, default=0))
     return "\n".join(line for k, line in enumerate(lines) if max(sums[k : k + window]) >= need)
 
 
-ARTICLE = re.compile(r"<(article|main)\b", re.I)
-
-
-def article_of(page: str) -> str | None:
-    """The stretch from the first article (else main) start tag to the last end tag of that kind, or to the end; None without one."""
-    bare = re.sub(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title)\b.*?(?:</\1\s*>|\Z)", lambda m: " " * len(m[0]), page, flags=re.S | re.I)
-    starts = list(ARTICLE.finditer(bare))
-    if not starts:
-        return None
-    kind = "article" if any(m[1].lower() == "article" for m in starts) else "main"
-    first = next(m.start() for m in starts if m[1].lower() == kind)
-    ends = [m.end() for m in re.finditer(rf"</{kind}\s*>", bare, re.I)]
-    return bare[first : ends[-1] if ends and ends[-1] > first else len(bare)]
+def bounded(lines: list[tuple[str, bool, bool, bool]]) -> tuple[list[str], int]:
+    """The lines and the weight of their characters: those from the first to the last one in an article, or else in a main part, if those marked so hold half of the text at least;
+    else all. Comments and articles within parts set apart are not among ``lines``, so they are no bound."""
+    total = sum(len(x[0]) for x in lines)
+    for kind in (2, 3):
+        at = [k for k, x in enumerate(lines) if x[kind]]
+        if at and 2 * sum(len(lines[k][0]) for k in at) >= total:
+            return [x[0] for x in lines[at[0] : at[-1] + 1]], MARKED
+    return [x[0] for x in lines], 1
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:

@@ -279,6 +279,15 @@ def test_html(spark):
     assert html_text.extract_main_text(p.limit(0)).count() == 0
 
 
+def test_html_of_odd_articles():
+    body = "A body of the page that is long enough to be a block of text by itself."
+    assert html_text.main_text(f'<main><p>{body}</p></main><div id="x"><article class="comment"><p>I like it, and I say so at some length.</p></article></div>') == body
+    assert html_text.main_text(f'<div class="post"><p>{body}</p></div><aside><article><p>A teaser of another page</p></article></aside>') == body
+    assert html_text.main_text(f'<div class="post"><p>{body}</p></div><div><article><p>A teaser of another page</p></article></div>').startswith(body)
+    far = "<p>a</p>" * 5  # the windows run within an article
+    assert html_text.main_text(f"<article><p>{body}</p>{far}</article>") == body + "\na" * 2
+
+
 def test_sharding(spark, table, none):
     rows = [(i, text(i, 3), "hot" if i % 3 else f"s{i % 10}") for i in range(1000)] + list(ROWS)
     out = sharding.interleave_shards(docs(spark, rows).repartition(5)).collect()
