@@ -137,8 +137,10 @@ def normalise(components: DataFrame, norm: int = 2) -> DataFrame:
     return components.join(size, "component").withColumn("value", F.when(F.col("size") > 0, F.col("value") / F.col("size")).otherwise(F.col("value"))).drop("size")
 
 
-def std_projection(movie: DataFrame, n_frames: int = 1000, seed: int = 0) -> DataFrame:
-    """``pixel_id, value``: the deviation over at most ``n_frames`` frames, those of the smallest seeded hash."""
+def std_projection(movie: DataFrame, n_frames: int | None = 1000, seed: int = 0) -> DataFrame:
+    """``pixel_id, value``: the deviation over at most ``n_frames`` frames, those of the smallest seeded hash; over all frames with None."""
+    if n_frames is None:
+        return movie.groupBy("pixel_id").agg(F.stddev_pop("value").alias("value"))
     ids = movie.select("frame_id").distinct().orderBy(F.xxhash64(F.lit(seed), "frame_id")).limit(n_frames)
     return movie.join(F.broadcast(ids), "frame_id").groupBy("pixel_id").agg(F.stddev_pop("value").alias("value"))
 

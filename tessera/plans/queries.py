@@ -184,12 +184,12 @@ def _(spark, d):
 
 @query("std_projection", f"WITH {MOVIE} SELECT pixel_id, {r('stddev_pop(value)')} AS value FROM movie WHERE channel = 0 GROUP BY pixel_id")
 def _(spark, d):
-    return rounded(st.std_projection(one_channel(spark, d), 100_000), "value")
+    return rounded(st.std_projection(one_channel(spark, d), None), "value")
 
 
 @query("percentile_threshold", f"WITH {MOVIE}, s AS (SELECT pixel_id, stddev_pop(value) AS value FROM movie WHERE channel = 0 GROUP BY 1) SELECT pixel_id, value > (SELECT quantile_cont(value, 0.6) FROM s) AS keep FROM s")
 def _(spark, d):
-    return st.above_percentile(st.std_projection(one_channel(spark, d), 100_000), 0.6)
+    return st.above_percentile(st.std_projection(one_channel(spark, d), None), 0.6)
 
 
 @query("contrast_scale", f"WITH {MOVIE}, {MEAN_MAP}, i AS (SELECT * FROM f0 WHERE channel = 0) SELECT pixel_id, {r('greatest(0, least(1, f0 / (SELECT quantile_cont(f0, 0.98) FROM i)))')} AS value FROM i")

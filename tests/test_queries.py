@@ -1,3 +1,5 @@
+import numpy as np
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -27,3 +29,14 @@ def test_same_rows(spark, con, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL)))
 def test_runs(spark, name):
     assert entry.queries()[name](spark, SF).count() > 0
+
+
+def test_deviation_is_of_all_frames(spark, tmp_path):
+    n = 240_000  # 120,000 frames of each channel
+    x = np.random.default_rng(12).standard_normal((n, 2)).astype(np.float32)
+    pd.DataFrame({"vec_id": np.arange(n), "embedding": list(x)}).to_parquet(tmp_path / "embeddings.parquet")
+    got = {r["pixel_id"]: r["value"] for r in entry.queries()["std_projection"](spark, str(tmp_path)).collect()}
+    want = (1000 + 100 * x[::2].astype(np.float64)).std(0)
+    assert all(abs(got[k] - want[k]) < 2e-6 for k in range(2))
+    keep = {r["pixel_id"]: r["keep"] for r in entry.queries()["percentile_threshold"](spark, str(tmp_path)).collect()}
+    assert keep == {k: bool(k == want.argmax()) for k in range(2)}
