@@ -37,8 +37,8 @@ class Similarity:
     @property
     def least_shared(self) -> int:
         """Values that the sketches of a link share but for a chance of ``miss``: of the k values of the side whose sketch ends first, each is its own
-        alone with a chance of at most (1 - J) / (1 + J)."""
-        alone = (100 - self.percent) / (100 + self.percent)
+        alone with a chance of at most 1 - J, as where it contains the other side."""
+        alone = (100 - self.percent) / 100
         p, upto = (1 - alone) ** self.k, 0.0
         for x in range(self.k):
             upto += p

@@ -1,6 +1,7 @@
 """Every operator on awkward tables: nulls in any column, empty and very long texts, repeated rows, no rows, further columns with clashing names."""
 
 import hashlib
+import math
 import zlib
 from collections import Counter
 
@@ -130,6 +131,12 @@ def test_minhash_is_brute_force(spark, percent):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got if r["doc_id"] is not None)
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_minhash_prefix_holds_for_contained_sets(percent):
+    how, j = minhash.Similarity(percent), percent / 100
+    assert sum(math.comb(how.k, x) * j**x * (1 - j) ** (how.k - x) for x in range(how.least_shared)) <= how.miss
+
+
 def test_minhash_tables(spark, table, none):
     out = minhash.near_documents(table)
     assert ids(out) == ALL and minhash.near_documents(none).count() == 0
