@@ -239,14 +239,20 @@ def near_documents(docs: DataFrame, how: Similarity = Similarity()) -> DataFrame
 def drop_near(docs: DataFrame, how: Similarity = Similarity()) -> DataFrame:
     """``docs`` without the rows that a near-duplicate of smaller id stands for: one document of each class stays, with all its columns.
 
-    Rows with a null id stay. Of rows that repeat an id, one stays; only where ids repeat are texts shuffled for that."""
-    found = cut(near_documents(docs, how))
-    gone = found.filter("not kept").select("doc_id").distinct()
-    out = semi(docs, gone, gone.count(), how="left_anti")
-    if found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return out
-    named = out.filter("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.unionByName(out.filter("doc_id is null"))
+    Rows with a null id stay. Where ids repeat, rows are numbered in the order of their ids and each is decided for itself: of rows with one id
+    those go whose text is a near-duplicate of a row before them."""
+    named = docs.filter("doc_id is not null")
+    if named.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return without_copies(docs, docs, "doc_id", how)
+    rows = cut(named.orderBy("doc_id", F.xxhash64("text")).withColumn("_row", F.monotonically_increasing_id()))
+    left = without_copies(rows, rows.select(F.col("_row").alias("doc_id"), "text"), "_row", how)
+    return left.drop("_row").unionByName(docs.filter("doc_id is null"))
+
+
+def without_copies(rows: DataFrame, docs: DataFrame, key: str, how: Similarity) -> DataFrame:
+    """``rows`` whose key is not that of one of the ``docs`` for which another stands."""
+    gone = cut(near_documents(docs, how).filter("not kept").select(F.col("doc_id").alias(key)).distinct())
+    return semi(rows, gone, gone.count(), key, "left_anti")
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -147,6 +147,13 @@ def test_minhash_tables(spark, table, none):
     assert ids(left) == Counter({1: 1, 2: 1, 3: 1, 4: 1, 5: 1, None: 1, 7: 1, 8: 1, **({9: 1} if comp[9] == 9 else {})})
 
 
+def test_drop_near_decides_rows_of_one_id(spark):
+    rows = [(1, text(1)), (1, text(2)), (1, text(1) + " tail"), (2, text(2)), (2, text(3)), (3, text(3)), (None, text(1)), (4, "")]
+    left = minhash.drop_near(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in left if r["doc_id"] != 1) == Counter([(2, text(3)), (None, text(1)), (4, "")])
+    assert sorted(r["text"].removesuffix(" tail") for r in left if r["doc_id"] == 1) == sorted([text(1), text(2)])
+
+
 def vectors(spark, rows):
     return spark.createDataFrame([(i, e, label, "x") for i, e, label in rows], "vec_id long, embedding array<float>, label int, key string")
 
