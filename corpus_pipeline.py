@@ -11,7 +11,7 @@ from tessera.llm.common import cut, table
 from tessera.llm.decontaminate import drop_leaks
 from tessera.llm.minhash import Similarity, drop_near
 from tessera.llm.pieces import PieceModel, encode
-from tessera.llm.quality import fit_quality, keep_quality
+from tessera.llm.quality import can_fit, fit_quality, keep_quality
 from tessera.llm.secrets import fit_markov, redact_secrets
 
 #: Documents of one class share this percentage of their five-word shingles.
@@ -19,11 +19,10 @@ NEAR = Similarity(percent=80)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts. It learns from the labels of the documents at hand; with no label it accepts all, as its
-    score is then the smoothed base rate of no rows, 1/2, and nothing is known against any document."""
+    """Documents that the quality classifier accepts. It learns from the labels of the documents at hand; unless the rows it learns from hold
+    both labels it accepts all, as its score is then one base rate, and nothing is known against any document."""
     labels = table(spark, sf_dir, "labels")
-    known = labels.join(docs.select("doc_id"), "doc_id", "left_semi").filter("quality is not null")
-    return docs if known.isEmpty() else keep_quality(docs, fit_quality(docs, labels))
+    return keep_quality(docs, fit_quality(docs, labels)) if can_fit(docs, labels) else docs
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

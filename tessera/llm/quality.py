@@ -86,6 +86,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_LIMIT, se
     return FactorisationMachine.fit(x, np.array([r["label"] for r in got], np.float32), SIZE, seed=seed)
 
 
+def can_fit(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_LIMIT, seed: int = 1) -> bool:
+    """Whether the rows that ``fit_quality`` learns from hold both labels."""
+    return training_rows(docs, labels, "quality", HELD_MOD, HELD_REST, limit, seed, ["doc_id"]).select("label").distinct().count() == 2
+
+
 def score_quality(docs: DataFrame, model: FactorisationMachine, keep_from: float = 0.7) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row of ``docs`` (doc_id, text, n_chars).
 

@@ -1,5 +1,7 @@
 """The pipeline and the registered queries on small tables."""
 
+import zlib
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -63,3 +65,11 @@ def test_pipeline_of_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_quality_without_both_labels_keeps_all(spark, tmp_path):
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 4 == 2]
+    d = spark.createDataFrame([(i, words(i), "en", "s", 1) for i in range(200)], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, rows in (("held", [(i, i % 2, 0) for i in held]), ("zeros", [(i, 0, 0) for i in range(200)])):
+        spark.createDataFrame(rows, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / name / "labels.parquet"))
+        assert corpus_pipeline.quality(spark, d, str(tmp_path / name)).count() == 200
