@@ -8,18 +8,18 @@ their greatest sum is not its encoding; for these models the fold follows the me
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import pickle
-import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,13 +27,16 @@ from tessera.llm.common import table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-SPACES = re.compile(" +[^ ]*")
-#: Code points of texts whose units are found and encoded together: the distinct units of so much text are one row's array.
-BATCH = 14_000_000
+#: Bytes of texts whose units are found and encoded together: the distinct units of so much text are one row's array.
+BATCH = 32_000_000
+#: Units whose ids every task holds: the commonest of so many sampled documents. A cache, so its bounds change no result.
+HEAD_DOCS, HEAD_UNITS = 8192, 1 << 18
+#: Tasks that fold the cache: its rows are few bytes but much work.
+HEAD_TASKS = 64
 #: Units up to this length are folded with a 64-bit mask of their boundaries; longer ones by the same merges with a heap.
 MASK = 60
-#: Bits of a unit's number in its batch: a batch has fewer units than code points.
-UNIT_BITS = 23
+#: Bytes of texts that are cut into words, and words of documents that are put together, at a time.
+PART, OUT = 4_000_000, 1 << 18
 
 
 @dataclass(frozen=True)
@@ -100,22 +103,46 @@ class Cutter:
             a = self.of[[ord(c) for c in p]]
             self.joined[a[:-1], a[1:]] = True
 
-    def words(self, words: list[str]) -> tuple[list[str], np.ndarray]:
-        """The units of all words, one after the other, and how many each word has."""
-        if not words:
-            return [], np.zeros(0, np.int64)
-        s = "".join(words)
-        a = self.of[np.frombuffer(s.encode("utf-32-le", "surrogatepass"), "<u4")]
-        starts = np.cumsum([0, *map(len, words)])
-        cut = np.ones(len(s), bool)
+    def cut(self, words: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+        """The units of all words, one after the other; how many each word has; each unit's code points; and the code point of a unit that is
+        one character of no piece, else -1."""
+        marked = pc.replace_substring(pc.binary_join_element_wise(SPACE, words, ""), " ", SPACE)
+        offsets = np.frombuffer(marked.buffers()[1], np.int32)[marked.offset : marked.offset + len(marked) + 1] if len(marked) else np.zeros(1, np.int32)
+        data = np.frombuffer(marked.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]] if len(marked) else np.zeros(0, np.uint8)
+        first = np.flatnonzero((data & 0xC0) != 0x80)  # the byte where each code point begins
+        points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), "<u4")
+        a = self.of[points]
+        starts = np.searchsorted(first, offsets[:-1] - offsets[0])
+        cut = np.ones(len(a), bool)
         cut[1:] = ~self.joined[a[:-1], a[1:]]
-        cut[starts[:-1]] = True
+        cut[starts] = True
         at = np.flatnonzero(cut)
-        bounds = at.tolist()
-        return [s[i:j] for i, j in zip(bounds, [*bounds[1:], len(s)], strict=True)], np.diff(np.searchsorted(at, starts))
-
-    def __call__(self, text: str) -> list[str]:
-        return self.words([SPACE + text.replace(" ", SPACE)])[0] if text else []
+        bounds = np.append(first[at], len(data)).astype(np.int32)
+        units = pa.StringArray.from_buffers(len(at), pa.py_buffer(bounds), pa.py_buffer(data.tobytes()))
+        length = np.diff(np.append(at, len(a)))
+        lone = np.where((length == 1) & (a[at] == 0), points[at].astype(np.int64), -1)
+        return units, np.diff(np.append(np.searchsorted(at, starts), len(at))), length, lone
+
+
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts (none null), one after the other, and how many each text has. A word is what stands between spaces; of several
+    spaces all but the first stand at the word's start, and at a text's end they are a word."""
+    texts = pc.replace_substring(texts, SPACE, " ")
+    lists = pc.split_pattern(texts, " ")
+    words, offsets = lists.values, lists.offsets.to_numpy()
+    counts = np.diff(offsets)
+    size = pc.binary_length(words).to_numpy()
+    if size.all():
+        return words, counts
+    last = np.zeros(len(words), bool)
+    last[offsets[1:] - 1] = True  # every text has a word so far, the empty text an empty one
+    keep = np.flatnonzero((size > 0) | last)
+    spaces = np.diff(keep, prepend=-1) - 1
+    real = (pc.binary_length(texts).to_numpy() > 0)[text_of := np.repeat(np.arange(len(counts)), counts)[keep]]
+    words, spaces = words.take(pa.array(keep[real])), spaces[real]
+    if spaces.any():
+        words = pc.binary_join_element_wise(pc.binary_repeat(" ", pa.array(spaces)), words, "")
+    return words, np.bincount(text_of[real], minlength=len(counts))
 
 
 def best_path(unit: str, scores: dict[str, tuple[float, int]], model: PieceModel) -> list[int]:
@@ -249,53 +276,103 @@ def fold(units: DataFrame, model: PieceModel) -> DataFrame:
     return merged(units, pieces.drop("score"), model.longest) if model.bpe else viterbi(units, pieces.drop("rank"), model.longest, model.penalty)
 
 
+@dataclass(frozen=True)
+class Head:
+    """Units whose ids every task has at hand: ``names``, ``flat`` ids one unit after the other, ``lengths``, and ``same``: they spell the unit."""
+
+    names: pa.Array
+    flat: np.ndarray
+    lengths: np.ndarray
+    same: np.ndarray
+
+    @staticmethod
+    def of(known: pa.Table, model: PieceModel) -> Head:
+        names, ids = known["unit"].combine_chunks(), known["ids"].combine_chunks()
+        flat, lengths = ids.flatten().to_numpy().astype(np.int32), np.diff(ids.offsets.to_numpy())
+        return Head(names, flat, lengths, spells(model, flat, lengths, names))
+
+
+def spells(model: PieceModel, flat: np.ndarray, lengths: np.ndarray, units: pa.Array) -> np.ndarray:
+    """Whether each unit's ids, decoded, are the unit again."""
+    if not len(units):
+        return np.zeros(0, bool)
+    each = pa.array([model.spelled.get(i, b"") for i in range(max(model.spelled, default=0) + 1)], pa.binary())
+    said = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)), pa.int32()), each.take(pa.array(flat))), pa.scalar(b"", pa.binary()))
+    return pc.equal(said, pc.replace_substring(units, SPACE, " ").cast(pa.binary())).to_numpy(zero_copy_only=False)
+
+
+def whole(known: pa.Table) -> pa.Table:
+    """The rows whose ids are all pieces. Spark does not filter them, as it would push the filter into the fold and work that out again for each row."""
+    ids = known["ids"].combine_chunks()
+    out = np.ones(len(ids), bool)
+    out[pc.list_parent_indices(ids).to_numpy()[ids.flatten().to_numpy() < 0]] = False
+    return known.filter(pa.array(out))
+
+
+def frequent(docs: DataFrame, model: PieceModel, most: int) -> Head:
+    """The ``most`` commonest units of a sample of about HEAD_DOCS documents, with their ids by the fold: a cache of bounded size.
+
+    It decides where a unit's ids are looked up, never what they are: units that are not in it go through the join."""
+    sampled = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).sample(min(1.0, HEAD_DOCS / max(1, docs.count())), 17)
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter = Cutter(held.value)
+        for b in batches:
+            each = words_of(b.column(0))[0].value_counts()
+            units, per_word, _, lone = cutter.cut(each.field("values"))
+            n = pa.array(np.repeat(each.field("counts").to_numpy(), per_word))
+            of = pa.table({"unit": units, "n": n}).filter(pa.array(lone < 0)).group_by("unit").aggregate([("n", "sum")])
+            yield from of.rename_columns({"n_sum": "n"}).select(["unit", "n"]).to_batches()
+
+    top = sampled.mapInArrow(count, "unit string, n long").filter(F.length("unit") <= MASK).groupBy("unit").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "unit").limit(most)
+    return Head.of(whole(fold(top.select("unit").repartition(HEAD_TASKS, "unit"), model).toArrow()), model)
+
+
 class Packer:
     """Gathers texts as numbers of words until there is enough for a batch; a word is what stands between spaces, with the space before it."""
 
-    def __init__(self, cutter: Cutter) -> None:
-        self.cutter = cutter
+    def __init__(self, cutter: Cutter, head: Head) -> None:
+        self.cutter, self.head = cutter, head
         self.clear()
 
     def clear(self) -> None:
-        self.ids, self.sums, self.counts, self.numbers, self.words, self.size = [], [], [], [], {}, 0
-
-    def add(self, doc_id: int | None, text: str) -> None:
-        words, n = self.words, len(self.words)
-        self.sums.append(zlib.crc32(text.encode()))
-        text = text.replace(SPACE, " ")
-        if not text:
-            parts = []
-        elif "  " in text or text[0] == " " or text[-1] == " ":
-            parts = [x[1:] for x in SPACES.findall(" " + text)]  # of several spaces all stand before the word
-        else:
-            parts = text.split(" ")
-        numbers = [words.setdefault(w, len(words)) for w in parts]
-        self.ids.append(doc_id)
-        self.counts.append(len(numbers))
-        self.numbers.append(np.array(numbers, np.int32))
-        self.size += len(text) + 1
-
-    def close(self) -> tuple[bytes, list[str]]:
-        """The batch's body, and its distinct units but for characters of no piece. What was gathered is let go on the way."""
-        numbers, self.numbers = np.concatenate([*self.numbers, np.zeros(0, np.int32)]), []
-        words, self.words = list(self.words), {}
-        order = np.argsort(-np.bincount(numbers, minlength=len(words)), kind="stable")  # frequent words get small numbers
-        place = np.empty(len(order), np.int32)
-        place[order] = np.arange(len(order))
-        numbers = streams(place[numbers])
-        units: dict[str, int] = {}
-        of, parts, per_word = self.cutter.of, [], []
-        for k in range(0, len(order), 8192):
-            cuts, n = self.cutter.words([SPACE + words[j].replace(" ", SPACE) for j in order[k : k + 8192].tolist()])
-            # a character of no piece is a unit of its own: minus its code point less one
-            parts.append(np.array([units.setdefault(u, len(units)) if len(u) > 1 or of[ord(u)] else -ord(u) - 1 for u in cuts], np.int32))
-            per_word.append(n.astype(np.int32))
-        parts, per_word = (np.concatenate([*x, np.zeros(0, np.int32)]) for x in (parts, per_word))
-        names, bare = list(units), self.cutter.bare
-        own = {k: u for k, u in enumerate(names) if len(u) > MASK or (bare and not bare.isdisjoint(u))}  # those that the lattice may give no ids
-        body = pickle.dumps((len(names), own, self.ids, self.sums, self.counts, numbers, streams(per_word), streams(np.where(parts < 0, len(names), parts)), parts[parts < 0]))
+        self.ids, self.counts, self.marked, self.words, self.size = [], [], [], [], 0
+        pa.default_memory_pool().release_unused()
+
+    def add(self, ids: pa.Array, texts: pa.Array) -> None:
+        words, counts = words_of(texts)
+        self.ids.append(ids)
+        self.marked.append(pc.match_substring(texts, SPACE))
+        self.counts.append(counts)
+        self.words.append(words.dictionary_encode())
+        self.size += int(pc.sum(pc.binary_length(texts)).as_py() or 0) + len(texts)
+
+    def close(self, place: tuple[int, int]) -> pa.RecordBatch:
+        """The batch as a row: its key, its body, and its distinct units but for those of the head and characters of no piece."""
+        ids, marked, counts = pa.concat_arrays(self.ids), pa.concat_arrays(self.marked), np.concatenate(self.counts)
+        coded = pa.chunked_array(self.words).unify_dictionaries().combine_chunks()
+        numbers, words = coded.indices.to_numpy(), coded.dictionary
         self.clear()
-        return zstandard.compress(body, 3), names
+        order = np.argsort(-np.bincount(numbers, minlength=len(words)), kind="stable")  # frequent words get small numbers
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        units, per_word, _, lone = self.cutter.cut(words.take(pa.array(order)))
+        coded = units.dictionary_encode()
+        which, names = coded.indices.to_numpy(), coded.dictionary
+        number = pc.fill_null(pc.index_in(names, value_set=self.head.names), -1).to_numpy().astype(np.int64)
+        alone = np.full(len(names), -1, np.int64)
+        alone[which] = lone
+        rest = (number < 0) & (alone < 0)
+        number[rest] = len(self.head.names) + np.arange(rest.sum())
+        parts = np.where(alone < 0, number, -alone - 1)[which]  # a character of no piece is a unit of its own: minus its code point less one
+        rest = names.filter(pa.array(rest))
+        n = len(self.head.names) + len(rest)
+        body = pickle.dumps((ids, marked, counts, streams(rank[numbers]), streams(per_word), streams(np.where(parts < 0, n, parts)), parts[parts < 0]))
+        # of the content too: should a task that runs again meet its rows in another order, its batches have other keys
+        key = hashlib.blake2b(pickle.dumps((place, rest)) + body, digest_size=8).digest()
+        rest = pa.ListArray.from_arrays(pa.array([0, len(rest)], pa.int32()), rest)
+        return pa.RecordBatch.from_arrays([pa.array([int.from_bytes(key, "little", signed=True)], pa.int64()), pa.array([zstandard.compress(body, 3)], pa.binary()), rest], ["batch", "body", "units"])
 
 
 def streams(x: np.ndarray) -> tuple[bytes, ...]:
@@ -320,27 +397,29 @@ def unstream(parts: tuple[bytes, ...]) -> np.ndarray:
     return out
 
 
-def pack(docs: DataFrame, model: PieceModel) -> DataFrame:
-    """``batch, body, units``: batches of texts as numbers, and the distinct units of each. The same input gives the same batches."""
+def pack(docs: DataFrame, model: PieceModel, head: Broadcast, size: int) -> DataFrame:
+    """``batch, body, units``: batches of texts as numbers, and the distinct units of each that the head does not hold."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        packer, batch = Packer(Cutter(held.value)), TaskContext.get().partitionId() << 16
-
-        def close() -> pd.DataFrame:
-            body, units = packer.close()
-            return pd.DataFrame({"batch": [batch], "body": [body], "units": [units]})
-
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer, n = Packer(Cutter(held.value), head.value), 0
         for b in batches:
-            for doc_id, text in zip(b["doc_id"].astype("Int64"), b["text"], strict=True):
-                packer.add(None if doc_id is pd.NA else int(doc_id), text or "")
-                if packer.size >= BATCH:
-                    yield close()
-                    batch += 1
-        if packer.ids:
-            yield close()
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(work, "batch long, body binary, units array<string>")
+            upto = np.cumsum(pc.binary_length(b.column(1)).to_numpy().astype(np.int64) + 1)
+            at = 0
+            while at < b.num_rows:  # rows up to the one that fills the batch
+                stop = int(np.searchsorted(upto, (upto[at - 1] if at else 0) + size - packer.size)) + 1
+                stop = min(stop, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PART)) + 1)
+                part = b.slice(at, min(stop, b.num_rows) - at)
+                packer.add(part.column(0), part.column(1))
+                at += part.num_rows
+                if packer.size >= size:
+                    yield packer.close((TaskContext.get().partitionId(), n))
+                    n += 1
+        if packer.size:
+            yield packer.close((TaskContext.get().partitionId(), n))
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
+    return rows.mapInArrow(work, "batch long, body binary, units array<string>")
 
 
 def ragged(flat: np.ndarray, start: np.ndarray, size: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -349,82 +428,90 @@ def ragged(flat: np.ndarray, start: np.ndarray, size: np.ndarray, which: np.ndar
     return flat[np.repeat(start[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())], n
 
 
-def unpack(body: bytes, u: np.ndarray, flat: np.ndarray, lengths: np.ndarray, m: PieceModel, rank: dict) -> Iterator[pa.RecordBatch]:
-    """The encoded documents of a batch: from the ids ``flat`` of the units numbered ``u``, as many each as ``lengths`` says."""
-    n_units, own, ids, sums, counts, numbers, per_word, parts, odd = pickle.loads(zstandard.decompress(body))
+def every(ok: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Whether all are true in each run of ``ok``, of so many values as ``counts`` says."""
+    upto = np.append(0, np.cumsum(~ok))
+    ends = np.cumsum(counts)
+    return upto[ends] == upto[ends - counts]
+
+
+def unpack(body: bytes, units: pa.Array, found: pa.Table, head: Head, m: PieceModel, by_piece: dict) -> Iterator[pa.RecordBatch]:
+    """The encoded documents of a batch: from the ids of the head's units and of those found for the batch's own ``units``."""
+    ids, marked, counts, numbers, per_word, parts, odd = pickle.loads(zstandard.decompress(body))
     numbers, per_word, parts = unstream(numbers), unstream(per_word).astype(np.int64), unstream(parts).astype(np.int64)
-    parts[parts == n_units] = odd
-    have = np.zeros(n_units, bool)
+    n_head, n = len(head.names), len(head.names) + len(units)
+    parts[parts == n] = odd
+    u, lists = found["u"].to_numpy(), found["ids"].combine_chunks()
+    flat, lengths = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+    have = np.zeros(len(units), bool)
     have[u] = True
-    more = {c: m.fallback(chr(-c - 1)) for c in np.unique(parts[parts < 0]).tolist()}
-    for k in np.flatnonzero(~have).tolist():  # units over MASK, and those with a character that has no piece
-        more[k] = merge(own[k], rank, m) if m.bpe else best_path(own[k], rank, m)
-    flat = np.concatenate([flat, *(np.array(v, np.int64) for v in more.values())]).astype(np.int32)
-    lengths = np.concatenate([lengths, [len(v) for v in more.values()]]).astype(np.int64)
-    u = np.concatenate([u, list(more)]).astype(np.int64)
-    low = min(0, int(u.min(initial=0)))
-    start, size = np.zeros(n_units - low, np.int64), np.zeros(n_units - low, np.int64)
-    start[u - low], size[u - low] = np.cumsum(lengths) - lengths, lengths
-    flat, n = ragged(flat, start, size, parts - low)  # unit after unit of each word
+    own = np.flatnonzero(~have)  # units over MASK, those with a character that has no piece, and those that no fold has found
+    by_hand = [merge(x, by_piece, m) if m.bpe else best_path(x, by_piece, m) for x in units.take(pa.array(own)).to_pylist()]
+    chars = np.unique(odd)
+    of_chars = [m.fallback(chr(-c - 1)) for c in chars.tolist()]
+    flat = np.concatenate([flat, *(np.array(x, np.int32) for x in by_hand)]).astype(np.int32)
+    lengths, u = np.concatenate([lengths, [len(x) for x in by_hand]]).astype(np.int64), np.concatenate([u, own]).astype(np.int64)
+    same = np.zeros(len(units), bool)
+    same[u] = spells(m, flat, lengths, units.take(pa.array(u)))
+    flat = np.concatenate([head.flat, flat, *(np.array(x, np.int32) for x in of_chars)]).astype(np.int32)
+    lengths = np.concatenate([head.lengths, lengths, [len(x) for x in of_chars]]).astype(np.int64)
+    low = -int(chars.min(initial=0))
+    at = np.concatenate([np.arange(n_head), n_head + u, chars]).astype(np.int64) + low
+    start, size, ok = np.zeros(n + low, np.int64), np.zeros(n + low, np.int64), np.full(n + low, m.byte_id is not None)
+    start[at], size[at] = np.cumsum(lengths) - lengths, lengths
+    ok[low:] = np.concatenate([head.same, same])
+    parts += low
+    flat, n = ragged(flat, start, size, parts)  # unit after unit of each word
     word_start = np.cumsum(per_word) - per_word
     upto = np.append(0, np.cumsum(n))
-    size = upto[word_start + per_word] - upto[word_start]
-    start = upto[word_start]
-    spelled = m.spelled
-    said = [b"".join([spelled.get(i, b"") for i in flat[i:j].tolist()]) for i, j in zip(start.tolist(), (start + size).tolist(), strict=True)]
+    start, size, ok = upto[word_start], upto[word_start + per_word] - upto[word_start], every(ok[parts], per_word)
     last = np.cumsum(counts)
-    for k in range(0, len(ids), 500):
-        count = np.array(counts[k : k + 500], np.int64)
-        which = numbers[last[k] - counts[k] : last[k + len(count) - 1]]
+    k = 0
+    while k < len(counts):  # documents of about OUT words at a time
+        stop = max(k + 1, int(np.searchsorted(last, last[k] - counts[k] + OUT, "right")))
+        which = numbers[last[k] - counts[k] : last[stop - 1]]
         out, n = ragged(flat, start, size, which)
-        edges = np.append(0, np.cumsum(count))
-        offsets = np.append(0, np.cumsum(n))[edges].astype(np.int32)
-        at = which.tolist()
-        same = [zlib.crc32(b"".join([said[w] for w in at[i:j]]).decode("utf-8", "replace")[1:].encode()) == x for i, j, x in zip(edges[:-1].tolist(), edges[1:].tolist(), sums[k : k + 500], strict=True)]
+        offsets = np.append(0, np.cumsum(n))[np.append(0, np.cumsum(counts[k:stop]))].astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(out, pa.int32()))
-        yield pa.RecordBatch.from_arrays([pa.array(ids[k : k + 500], pa.int64()), pa.array(np.diff(offsets)), lists, pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "ids", "round_trip"])
+        good = every(ok[which], counts[k:stop]) & ~marked.slice(k, stop - k).to_numpy(zero_copy_only=False)
+        yield pa.RecordBatch.from_arrays([ids.slice(k, stop - k), pa.array(np.diff(offsets), pa.int32()), lists, pa.array(good)], schema=ENCODED)
+        k = stop
 
 
-def encode(docs: DataFrame, model: PieceModel) -> DataFrame:
-    """``doc_id, n_tokens, ids, round_trip`` for every row of ``docs`` (doc_id, text).
+ENCODED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int32()), ("ids", pa.list_(pa.int32())), ("round_trip", pa.bool_())])
 
-    ``round_trip``: the ids decode to the text again; only a text that holds the mark U+2581 itself does not, as that is decoded as a space. Null and
-    empty texts have no ids; characters without a piece are bytes; null ids stay; repeated rows are encoded each; further columns are
-    ignored; an empty table gives an empty result.
 
-    Texts become numbers of words in batches of bounded size. The lattice is built once for each distinct unit of the table; its ids go back
-    to the batches that hold the unit, not to every place where it stands, so a unit in a third of all words is a row for each batch, in a
-    plain join whose skewed partitions Spark splits. Batches are made twice, once for their units and once for their texts, rather than kept."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
-    packed = pack(docs, model)
-    # never null, lest a filter part the two uses of the shuffle by unit; and both uses need both columns
-    batch, unit = F.coalesce("batch", F.lit(0).cast("long")), F.coalesce("unit", F.lit(""))
-    spots = packed.select(batch.alias("batch"), F.posexplode("units").alias("u", "unit")).select((F.col("batch") * (1 << UNIT_BITS) + F.col("u")).alias("spot"), unit.alias("unit"))
-    spots = spots.filter(F.length("unit") <= MASK).repartition("unit")
-    distinct = spots.groupBy("unit").agg(F.min("spot").alias("first")).filter("first >= 0").select("unit")
-    known = fold(distinct, model)
-    # ids go back in numbers: of the unit in its batch, of the place in the unit, and one or two ids
-    each, width = (2, 16) if max(model.spelled, default=0) < 1 << 16 else (1, 32)
-    place = lambda k: F.coalesce(F.get("ids", each * k), F.lit(0)).cast("long") * (1 << (32 - width)) + (F.coalesce(F.get("ids", each * k + 1) + 1, F.lit(0)) if each == 2 else F.lit(0))
-    numbers = F.transform(F.sequence(F.lit(0), F.ceil(F.size("ids") / each).cast("int") - 1), lambda k: F.col("spot").bitwiseAND(F.lit((1 << UNIT_BITS) - 1)) * (1 << 40) + k.cast("long") * (1 << 32) + place(k))
-    # a unit with a character that has no piece is left to the batch; said here, above the join, as a filter would be pushed into the fold
-    numbers = F.when(F.exists("ids", lambda i: i < 0), F.array().cast("array<bigint>")).otherwise(numbers)
-    back = spots.join(known, "unit").select(F.shiftright("spot", UNIT_BITS).alias("batch"), F.explode(numbers).alias("x")).groupBy("batch").agg(F.collect_list("x").alias("found"))
+def encode(docs: DataFrame, model: PieceModel, batch: int = BATCH, head_units: int = HEAD_UNITS) -> DataFrame:
+    """``doc_id, n_tokens, ids, round_trip`` for every row of ``docs`` (doc_id, text).
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ``round_trip``: the ids decode to the text again, compared unit by unit as bytes; only a text that holds the mark U+2581 itself does not, as
+    that is decoded as a space. Null and empty texts have no ids; characters without a piece are bytes; null ids stay; repeated rows are
+    encoded each; further columns are ignored; an empty table gives an empty result.
+
+    Texts become numbers of words in batches of ``batch`` bytes (a longer text is a batch by itself, as its ids are one row). The commonest
+    ``head_units`` units of a sample are at hand in every task; each other unit's lattice is built once for the table, and its ids go back to
+    the batches that hold the unit, not to every place where it stands, in a plain join whose skewed partitions Spark splits. Texts are packed
+    once: both uses read one shuffle. Should a lost executor's task meet its rows in another order, the batches it makes have other
+    keys, find no ids, and merge their units themselves, with the same result."""
+    sc = docs.sparkSession.sparkContext
+    held, head = sc.broadcast(model), sc.broadcast(frequent(docs, model, head_units))
+    packed = pack(docs, model, head, batch).repartition("batch")
+    # both uses of a shuffle need all its columns, lest it be made twice; and none is ever null, lest a filter part them
+    units = F.when(F.length("body") >= 0, F.col("units")).otherwise(F.array().cast("array<string>"))
+    spots = packed.select(F.col("batch").alias("home"), F.posexplode(units).alias("u", "unit")).select("home", "u", F.coalesce("unit", F.lit("")).alias("unit")).filter(F.length("unit") <= MASK)
+    spots = spots.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "unit")  # a fold is much work for few bytes: not to be put together by size
+    distinct = spots.groupBy("unit").agg(F.min("u").alias("u"), F.min("home").alias("home")).filter("u >= 0 or home is not null").select("unit")
+    back = spots.join(fold(distinct, model), "unit").select("home", "u", "ids")
+
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
         m = held.value
-        rank = {p: (r, i) for p, i, r in m.pieces} if m.bpe else {p: (s, i) for (p, i, _), s in zip(m.pieces, m.scores, strict=True)}
-        for b in batches:
-            for row in range(b.num_rows):
-                x = np.sort(b.column("found").slice(row, 1).flatten().to_numpy())
-                low = x & 0xFFFFFFFF
-                ids = np.stack([low >> 16, (low & 0xFFFF) - 1], 1) if each == 2 else low[:, None]
-                n = (ids >= 0).sum(1)
-                u, first = np.unique(x >> 40, return_index=True)
-                yield from unpack(b.column("body")[row].as_py(), u, ids[ids >= 0], np.add.reduceat(n, first) if len(x) else n, m, rank)
-
-    rows = packed.select(batch.alias("batch"), "body").join(back, "batch", "left").select("body", F.coalesce("found", F.array().cast("array<bigint>")).alias("found"))
-    return rows.mapInArrow(work, "doc_id long, n_tokens int, ids array<int>, round_trip boolean")
+        by_piece = {p: (r, i) for p, i, r in m.pieces} if m.bpe else {p: (s, i) for (p, i, _), s in zip(m.pieces, m.scores, strict=True)}
+        known = whole(right)
+        out = [x for b, u in zip(left["body"].to_pylist(), left["units"].combine_chunks(), strict=True) for x in unpack(b, u.values, known, head.value, m, by_piece)]
+        pa.default_memory_pool().release_unused()
+        return pa.Table.from_batches(out, schema=ENCODED)
+
+    return packed.groupBy("batch").cogroup(back.groupBy("home")).applyInArrow(work, "doc_id long, n_tokens int, ids array<int>, round_trip boolean")
 
 
 def decode(tokens: DataFrame, model: PieceModel) -> DataFrame:

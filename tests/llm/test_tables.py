@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -334,10 +335,37 @@ def test_pieces(spark, table, none):
         assert got[i]["round_trip"] == (lib.decode(lib.encode(t)) == t)
     assert got[100]["ids"] == [] == got[101]["ids"] and got[None]["ids"] == lib.encode("x")
     assert ids(pieces.encode(table, m)) == ALL and pieces.encode(none, m).count() == 0
+    for batch, head in ((1, 0), (200, 3), (1 << 20, 10)):  # each text a batch by itself, units from the join or the cache
+        few = {r["doc_id"]: r for r in pieces.encode(d, m, batch, head).collect()}
+        assert {i: (r["ids"], r["round_trip"]) for i, r in few.items()} == {i: (r["ids"], r["round_trip"]) for i, r in got.items()}
     back = {r["doc_id"]: r["text"] for r in pieces.decode(pieces.encode(d, m), m).collect()}
     assert all(back[i] == lib.decode(lib.encode(t)) for i, t in enumerate(texts))
 
 
+def test_words_and_units():
+    r = np.random.default_rng(3)
+    texts = ["".join(r.choice(list("ab \u2581é"), r.integers(0, 9))) for _ in range(500)]
+    words, counts = pieces.words_of(pa.array(texts))
+    at = np.append(0, np.cumsum(counts))
+    for t, i, j in zip(texts, at[:-1], at[1:], strict=True):
+        assert "".join(" " + w for w in words.slice(i, j - i).to_pylist()) == ((" " + t.replace(pieces.SPACE, " ")) if t else "")
+    units, per_word, length, _ = pieces.Cutter(pieces.PieceModel.load()).cut(words)
+    assert "".join(units.to_pylist()).replace(pieces.SPACE, " ") == "".join(" " + w for w in words.to_pylist())
+    assert per_word.sum() == len(units) and length.tolist() == [len(u) for u in units.to_pylist()]
+
+
+def test_batches_met_in_another_order(spark):
+    """What no join has found is merged by the batch itself, with the same ids."""
+    m = pieces.PieceModel.load()
+    packer = pieces.Packer(pieces.Cutter(m), pieces.Head.of(pa.table({"unit": pa.array([], pa.string()), "ids": pa.array([], pa.list_(pa.int32()))}), m))
+    packer.add(pa.array([1, None], pa.int64()), pa.array(["hello  world ⇒", ""]))
+    row = packer.close((0, 0))
+    none = pa.table({"u": pa.array([], pa.int32()), "ids": pa.array([], pa.list_(pa.int32()))})
+    got = pa.Table.from_batches(pieces.unpack(row.column(1)[0].as_py(), row.column(2)[0].values, none, packer.head, m, {p: (k, i) for p, i, k in m.pieces}))
+    lib = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=pieces.MODEL)
+    assert got["ids"].to_pylist() == [lib.encode("hello  world ⇒"), []] and got["round_trip"].to_pylist() == [True, True] and got["doc_id"].to_pylist() == [1, None]
+
+
 def test_unigram_fold_is_viterbi(spark):
     r = np.random.default_rng(10)
     words = sorted({"".join(r.choice(list("abc▁"), r.integers(1, 4))) for _ in range(60)} | {"a", "b", "▁"})
