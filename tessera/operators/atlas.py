@@ -4,14 +4,17 @@ An atlas is one image with a few dozen areas, so these work on whole images, one
 
 from __future__ import annotations
 
+import gzip
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import geometry, morphology
+from tessera.sources import raw, store
 
 REGION_SCHEMA = "acronym string, name string, reference array<int>, resolution double, label int, allen_id bigint, allen_rgb array<int>, left_center array<double>, right_center array<double>, left_x array<double>, left_y array<double>, right_x array<double>, right_y array<double>"
 
@@ -85,3 +88,57 @@ def projection_outline(projection: DataFrame, height: int, width: int, reference
                 yield pd.DataFrame({"vertex": np.arange(len(e)), "x": (e[:, 1] - reference[0]) * resolution / 1000, "y": (e[:, 0] - reference[1]) * resolution / 1000})
 
     return one.mapInPandas(work, "vertex int, x double, y double")
+
+
+def reference_regions(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The regions of a reference, from ``<name>_ccf_labels.json``, in file order as ``region_id``."""
+    rows = spark.read.schema(REGION_SCHEMA).json(f"{folder}/{name}_ccf_labels.json", multiLine=True).withColumn("k", F.monotonically_increasing_id())
+    return rows.withColumn("region_id", (F.row_number().over(Window.orderBy("k")) - 1).cast("int")).drop("k")  # a row a region
+
+
+def load_reference(spark: SparkSession, folder: str, name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(regions; projection ``i, j, label``; outline ``vertex, x, y``) of a reference's three files."""
+    grid = raw.read_npy(spark, f"{folder}/{name}_projection.npy")
+    projection = grid.select(F.expr("position div shape[1]").cast("int").alias("i"), (F.col("position") % F.col("shape")[1]).cast("int").alias("j"), F.col("value").cast("int").alias("label"))
+    line = raw.read_npy(spark, f"{folder}/{name}_outline.npy")
+    outline = line.groupBy(F.expr("position div 2").cast("int").alias("vertex")).agg(F.max(F.when(F.col("position") % 2 == 0, F.col("value"))).alias("x"), F.max(F.when(F.col("position") % 2 == 1, F.col("value"))).alias("y"))
+    return reference_regions(spark, folder, name), projection, outline
+
+
+def save_reference(regions: DataFrame, projection: DataFrame, outline: DataFrame, folder: str, name: str) -> None:
+    """The three files of a reference: regions in the order of ``region_id`` as one JSON array, projection and outline as .npy. An atlas has a few
+    dozen regions."""
+    fields = [c for c in regions.columns if c != "region_id"]
+    rows = [json.loads(r["j"]) for r in regions.select("region_id", F.to_json(F.struct(*fields)).alias("j")).orderBy("region_id").collect()]
+    with store.Replacing(f"{folder}/{name}_ccf_labels.json") as f:
+        f.write(json.dumps(rows).encode())
+    h, w = projection.agg(F.max("i") + 1, F.max("j") + 1).first()
+    raw.write_npy(projection.select(F.struct("i", "j").alias("at"), "label"), f"{folder}/{name}_projection.npy", "at", "label", (h, w), dtype="int32")
+    raw.write_npy(outline.select("vertex", F.array("x", "y").alias("p")), f"{folder}/{name}_outline.npy", "vertex", "p", (outline.count(), 2), dtype="float64")
+
+
+def read_volume(spark: SparkSession, path: str) -> DataFrame:
+    """``i, z, j, label`` of an annotation volume: a .npy array of three axes, or an NRRD file with raw or gzip encoding."""
+    if path.endswith(".npy"):
+        cells = raw.read_npy(spark, path)
+    else:
+        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for content in b["content"]:
+                    x = nrrd(content)
+                    for k in range(0, x.size, 1 << 20):
+                        part = x.ravel()[k : k + (1 << 20)]
+                        yield pd.DataFrame({"shape": [list(x.shape)] * len(part), "position": np.arange(k, k + len(part)), "value": part.astype(np.float64)})
+
+        cells = spark.read.format("binaryFile").load(path).select("content").mapInPandas(work, "shape array<long>, position long, value double")
+    return cells.select(F.expr("position div (shape[1] * shape[2])").cast("int").alias("i"), F.expr("(position div shape[2]) % shape[1]").cast("int").alias("z"), F.expr("position % shape[2]").cast("int").alias("j"), F.col("value").cast("long").alias("label"))
+
+
+def nrrd(content: bytes) -> np.ndarray:
+    """The array of an NRRD file: axes from the fastest on, as the format has them."""
+    head, body = content.split(b"\n\n", 1)
+    fields = dict(x.split(": ", 1) for x in head.decode("ascii", "replace").splitlines()[1:] if ": " in x and not x.startswith("#"))
+    kinds = {"uchar": "u1", "uint8": "u1", "short": "i2", "int16": "i2", "ushort": "u2", "uint16": "u2", "unsigned short": "u2", "int": "i4", "int32": "i4", "uint": "u4", "uint32": "u4", "unsigned int": "u4", "float": "f4", "double": "f8"}
+    raw_bytes = {"raw": lambda x: x, "gzip": gzip.decompress, "gz": gzip.decompress}[fields["encoding"].strip()](body)
+    kind = np.dtype(kinds[fields["type"].strip()]).newbyteorder(">" if fields.get("endian", "little").strip() == "big" else "<")
+    return np.frombuffer(raw_bytes, kind).reshape([int(n) for n in fields["sizes"].split()], order="F")

@@ -7,16 +7,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import events, signals, stats
+from tessera.operators.algebra import comoments, mapped, stacked
 from tessera.operators.frames import EPS, as_of, bin_size
 
 
 def frame_dff(frames: DataFrame, baseline: DataFrame, divide: bool = True) -> DataFrame:
-    """dF/F in the frame layout: each frame's pixels against its channel's (and trial's) baseline array ``f0``."""
+    """dF/F in the frame layout: each frame's pixels against its channel's (and trial's) baseline array ``f0``.
+
+    A baseline without trials is a frame for each channel, a bound that the camera sets, so it is broadcast; one with trials has a row for
+    each trial, and the movie is dealt out by trial."""
     keys = [k for k in ("trial_id", "channel") if k in baseline.columns]
+    baseline = baseline if "trial_id" in keys else F.broadcast(baseline)
     f = F.transform("f0", lambda v: v + EPS)
     rel = F.zip_with("pixels", f, lambda x, m: (x - m) / m if divide else x - m)
     return frames.join(baseline, keys).withColumn("pixels", rel).drop("f0")
@@ -28,18 +34,24 @@ def baseline_frames(frames: DataFrame) -> DataFrame:
     return means.groupBy("channel").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "v"))), lambda s: s["v"]).alias("f0"))
 
 
-def _sum_rows(pdf: pd.DataFrame) -> np.ndarray:
-    return np.stack(pdf["pixels"].to_list()).astype(np.float64)
+#: Numbers of a block of pixels with all its bins, and of a factor that is sent to the workers whole.
+HELD, SENT = 16_000_000, 32_000_000
+#: Frames and pixels of a piece where the factor is too large to be sent.
+PIECE_FRAMES, PIECE_PIXELS = 2048, 8192
+
+
+def summed(pdf: pd.DataFrame) -> np.ndarray:
+    return np.stack(pdf["total"].to_list()).sum(0)
 
 
 def approximate_svd(frames: DataFrame, k: int = 200, per_bin: int = 15, max_bins: int = 5000, mask: np.ndarray | None = None, divide: bool = True, trials: DataFrame | None = None, compat: bool = False) -> tuple[DataFrame, DataFrame]:
     """(spatial ``pixel_id, u``; temporal ``t, frame_id, channel, v``) of a movie in the frame layout.
 
-    Bins of dF/F (at most ``max_bins`` rows of pixels, a documented bound whatever the movie's length) give a bins x bins Gram matrix, whose leading
-    vectors combine the bins into unit components; every frame is then projected on them where it stands. With ``trials`` (trial_id, onset_frame) each
-    frame uses its trial's baseline. ``compat`` gives the last frame zero, as the published algorithm's projection leaves it."""
-    spark = frames.sparkSession
-    n = frames.agg(F.max("frame_id") + 1).first()[0] or 0
+    Bins of dF/F (at most ``max_bins`` of each channel) are kept by blocks of pixels. Each block gives a bins x bins product, added up by rows; its
+    leading vectors, found on the driver ((max_bins x channels)^2 numbers), combine the bins into unit components block by block, and every frame is projected on
+    them. With ``trials`` (trial_id, onset_frame) each frame uses its trial's baseline. ``compat`` has the published algorithm's edges: the last bin
+    lacks its last frame, the movie's last frame is zero, and with trials so are the frames before the first onset."""
+    n, channels, px = frames.agg(F.coalesce(F.max("frame_id") + 1, F.lit(0)), F.coalesce(F.max("channel") + 1, F.lit(1)), F.coalesce(F.max(F.size("pixels")), F.lit(0))).first()
     if trials is not None:
         marked = as_of(frames, trials, "frame_id", "onset_frame", ["trial_id"], first=True)
         base = marked.select("trial_id", "channel", F.posexplode("pixels").alias("p", "v")).groupBy("trial_id", "channel", "p").agg(F.avg("v").alias("v"))
@@ -48,48 +60,103 @@ def approximate_svd(frames: DataFrame, k: int = 200, per_bin: int = 15, max_bins
     else:
         rel = frame_dff(frames, baseline_frames(frames), divide)
     per_bin, bins = bin_size(n, k, per_bin, max_bins)
+    last, bins = bins * per_bin - int(compat), bins * channels  # a channel's bins are rows of their own
+    width = max(1, min(px, HELD // max(1, bins)))
+    keep = np.ones(px) if mask is None else mask.ravel().astype(np.float64)
+    held = frames.sparkSession.sparkContext.broadcast(keep)  # a frame
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            x = _sum_rows(b)
-            at, inverse = np.unique(b["bin"].to_numpy(), return_inverse=True)
-            total = np.zeros((len(at), x.shape[1]))
-            np.add.at(total, inverse, x)
-            yield pd.DataFrame({"bin": at, "total": list(total), "n": np.bincount(inverse)})
-
-    binned = rel.filter(F.col("frame_id") < bins * per_bin).select(F.expr(f"frame_id div {per_bin}").alias("bin"), "pixels").mapInPandas(partial, "bin long, total array<double>, n long")
-
-    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"bin": pdf["bin"].iloc[:1], "mean": [np.stack(pdf["total"].to_list()).sum(0) / pdf["n"].sum()]})
-
-    rows = binned.groupBy("bin").applyInPandas(whole, "bin long, mean array<double>").orderBy("bin").collect()  # max_bins rows
-    x = np.array([r["mean"] for r in rows]).reshape(len(rows), -1)
-    if mask is not None:
-        x = x * mask.ravel()
-    size, vectors = np.linalg.eigh(x @ x.T / max(1, x.shape[1]))
-    u = vectors[:, np.argsort(-size)[: min(k, len(rows))]].T @ x
-    norm = np.sqrt((u * u).sum(1, keepdims=True))
-    u = np.divide(u, norm, out=np.zeros_like(u), where=norm > 0)
-    held = spark.sparkContext.broadcast(u)
-
-    def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            if len(b):
+                x = stacked(b["pixels"]) * held.value
+                at, inverse = np.unique(b["bin"].to_numpy(), return_inverse=True)
+                total = np.zeros((len(at), px))
+                np.add.at(total, inverse, x)
+                count = np.bincount(inverse)
+                for first in range(0, px, width):
+                    yield pd.DataFrame({"block": first // width, "bin": at, "total": list(total[:, first : first + width]), "n": count})
+
+    def mean(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"block": pdf["block"].iloc[:1], "bin": pdf["bin"].iloc[:1], "total": [summed(pdf) / pdf["n"].sum()]})
+
+    def products(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.zeros((bins, len(pdf["total"].iloc[0])))
+        x[pdf["bin"].to_numpy()] = stacked(pdf["total"])
+        return pd.DataFrame({"bin": np.arange(bins), "total": list(x @ x.T / px)})
+
+    def added(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"bin": pdf["bin"].iloc[:1], "total": [summed(pdf)]})
+
+    binned = rel.filter(F.col("frame_id") < last).select((F.expr(f"frame_id div {per_bin}") * channels + F.col("channel")).alias("bin"), "pixels").mapInPandas(partial, "block int, bin long, total array<double>, n long")
+    binned = binned.groupBy("block", "bin").applyInPandas(mean, "block int, bin long, total array<double>").persist(StorageLevel.MEMORY_AND_DISK)
+    rows = binned.groupBy("block").applyInPandas(products, "bin long, total array<double>").groupBy("bin").applyInPandas(added, "bin long, total array<double>").toArrow().sort_by("bin")
+    c = np.concatenate([x.flatten().to_numpy(zero_copy_only=False) for x in rows["total"].chunks] or [np.zeros(0)]).reshape(rows.num_rows, rows.num_rows)
+    size, vectors = np.linalg.eigh(c) if len(c) else (np.zeros(0), np.zeros((0, 0)))
+    first = np.argsort(-size)[: min(k, len(c))]
+    norm = np.sqrt(np.maximum(size[first], 0) * px)  # of vectors.T @ bins, as its square is the eigenvalue
+    sound = norm > 1e-12 * max(float(norm.max(initial=0)), 1e-300)
+    mix = np.where(sound[:, None], vectors[:, first].T / np.where(sound, norm, 1)[:, None], 0)
+
+    def components(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.zeros((bins, len(pdf["total"].iloc[0])))
+        x[pdf["bin"].to_numpy()] = stacked(pdf["total"])
+        return pd.DataFrame({"pixel_id": int(pdf["block"].iloc[0]) * width + np.arange(x.shape[1]), "u": list((mix @ x).T)})
+
+    spatial = binned.groupBy("block").applyInPandas(components, "pixel_id int, u array<double>").persist(StorageLevel.MEMORY_AND_DISK)
+    v = projected(rel, spatial, px, len(mix))
+    if compat:
+        start = 0 if trials is None else trials.agg(F.min("onset_frame")).first()[0] or 0
+        v = v.withColumn("v", F.when(F.col("frame_id").between(start, n - 2), F.col("v")).otherwise(F.transform("v", lambda x: F.lit(0.0))))
+    return spatial, v.select((F.col("frame_id") * channels + F.col("channel")).alias("t"), "frame_id", "channel", "v")
+
+
+def projected(rel: DataFrame, spatial: DataFrame, px: int, k: int, sent: int = SENT) -> DataFrame:
+    """``frame_id, channel, v``: each frame (pixels) times the components (pixel_id, u) of all its ``px`` pixels.
+
+    Components of ``sent`` numbers at most go to the workers, and frames are multiplied where they stand; larger ones, and the frames, are dealt
+    out in pieces, whose products are added up for each frame."""
+    schema = "frame_id long, channel int, v array<double>"
+    rel = rel.select(F.col("frame_id").cast("long"), F.col("channel").cast("int"), "pixels")
+    if px * k <= sent:
+        table = spatial.toArrow().sort_by("pixel_id")
+        u = np.concatenate([x.flatten().to_numpy(zero_copy_only=False) for x in table["u"].chunks] or [np.zeros(0)]).reshape(table.num_rows, k)
+        held = rel.sparkSession.sparkContext.broadcast(u)
+
+        def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                if len(b):
+                    yield pd.DataFrame({"frame_id": b["frame_id"], "channel": b["channel"], "v": list(stacked(b["pixels"]) @ held.value)})
+
+        return rel.mapInPandas(project, schema)
+    chunks = rel.agg(F.coalesce(F.max("frame_id") + 1, F.lit(0))).first()[0] // PIECE_FRAMES + 1
+
+    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            v = _sum_rows(b) @ held.value.T
-            if compat:
-                v[b["frame_id"].to_numpy() == n - 1] = 0
-            yield pd.DataFrame({"frame_id": b["frame_id"], "channel": b["channel"], "v": list(v)})
+            for k in range(0, len(b), 64):
+                part = b.iloc[k : k + 64]
+                x = stacked(part["pixels"])
+                for first in range(0, px, PIECE_PIXELS):
+                    yield pd.DataFrame({"block": first // PIECE_PIXELS, "chunk": part["frame_id"] // PIECE_FRAMES, "frame_id": part["frame_id"], "channel": part["channel"], "pixels": list(x[:, first : first + PIECE_PIXELS])})
+
+    def multiply(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"frame_id": [], "channel": [], "v": []})
+        return pd.DataFrame({"frame_id": a["frame_id"], "channel": a["channel"], "v": list(stacked(a["pixels"]) @ stacked(b.sort_values("pixel_id")["u"]))})
 
-    channels = frames.agg(F.max("channel") + 1).first()[0] or 1
-    temporal = rel.mapInPandas(project, "frame_id long, channel int, v array<double>").select((F.col("frame_id") * channels + F.col("channel")).alias("t"), "frame_id", "channel", "v")
-    spatial = spark.createDataFrame(pd.DataFrame({"pixel_id": np.arange(u.shape[1]), "u": u.T.tolist()}), "pixel_id int, u array<double>")
-    return spatial, temporal
+    def added(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"frame_id": pdf["frame_id"].iloc[:1], "channel": pdf["channel"].iloc[:1], "v": [stacked(pdf["v"]).sum(0)]})
+
+    cut = rel.mapInPandas(pieces, "block int, chunk long, frame_id long, channel int, pixels array<double>")
+    u = spatial.select("pixel_id", "u", F.floor(F.col("pixel_id") / PIECE_PIXELS).cast("int").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))).alias("chunk"))
+    return cut.groupBy("block", "chunk").cogroup(u.groupBy("block", "chunk")).applyInPandas(multiply, schema).groupBy("frame_id", "channel").applyInPandas(added, schema)
 
 
 def blockwise_svd(rel: DataFrame, height: int, width: int, k: int = 200, block_k: int = 20, size: int = 120, overlap: int = 8) -> tuple[DataFrame, DataFrame, np.ndarray]:
     """(spatial ``pixel_id, component, value``; temporal ``t, component, value``; singular values) of dF/F pixels (t, pixel_id, y, x, value).
 
-    Tiles are reduced by a deterministic SVD each, in its own task; the tiles' temporal components, tiles x ``block_k`` rows, meet in a
-    second SVD; spatial components are put together by the mean over overlapping tiles."""
+    Tiles are reduced by a deterministic SVD each, in its own task; the tiles' temporal components, tiles x ``block_k`` numbers for each t, meet
+    in a second one by their products, a matrix of that many rows and columns, which is all that reaches the driver; spatial components are
+    put together by the mean over overlapping tiles. Frames that a tile lacks count as zero."""
     tiled = events.blocks_of_pixels(rel, height, width, size, overlap)
 
     def reduce(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -100,28 +167,30 @@ def blockwise_svd(rel: DataFrame, height: int, width: int, k: int = 200, block_k
         parts = [pd.DataFrame({"block_id": block, "kind": "u", "at": m.index, "component": c, "value": u[:, c]}) for c in range(n)]
         return pd.concat(parts + [pd.DataFrame({"block_id": block, "kind": "v", "at": m.columns, "component": c, "value": s[c] * v[c]}) for c in range(n)])
 
-    parts = tiled.groupBy("block_id").applyInPandas(reduce, "block_id int, kind string, at long, component int, value double").persist()
+    parts = tiled.groupBy("block_id").applyInPandas(reduce, "block_id int, kind string, at long, component int, value double").persist(StorageLevel.MEMORY_AND_DISK)
     v = parts.filter("kind = 'v'").select("block_id", "component", F.col("at").alias("t"), "value")
-    rows = v.groupBy("block_id", "component").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "value"))), lambda s: s["value"]).alias("v")).orderBy("block_id", "component").collect()
-    x = np.array([r["v"] for r in rows])
-    left, s, right = np.linalg.svd(x, full_matrices=False)
-    n = min(k, len(s))
+    rows = [(r["block_id"], r["component"]) for r in v.select("block_id", "component").distinct().orderBy("block_id", "component").collect()]  # tiles x block_k
     spark = rel.sparkSession
-    mix = [(r["block_id"], r["component"], c, float(left[i, c])) for i, r in enumerate(rows) for c in range(n)]
-    mixed = spark.createDataFrame(mix, "block_id int, component int, to int, w double")
-    block_u = parts.filter("kind = 'u'").select("block_id", "component", F.col("at").cast("int").alias("pixel_id"), "value").join(mixed, ["block_id", "component"])
-    per_block = block_u.groupBy("block_id", "pixel_id", F.col("to").alias("component")).agg(F.sum(F.col("value") * F.col("w")).alias("value"))
-    times = [r[0] for r in rel.select("t").distinct().orderBy("t").collect()]
-    temporal = spark.createDataFrame(pd.DataFrame({"t": np.tile(times, n), "component": np.repeat(np.arange(n), len(times)), "value": (s[:n, None] * right[:n]).ravel()}), "t long, component int, value double")
-    return events.assemble_blocks(per_block), temporal, s[:n]
-
-
-def correction_matrix(spatial: DataFrame, coefficients: DataFrame, rank: int) -> np.ndarray:
-    """T = pinv(U^T U) U^T diag(r) U from two rank x rank sums over pixels."""
-    joined = spatial.join(coefficients, "pixel_id")
-    sums = [F.sum(F.col("u")[i] * F.col("u")[j] * w) for w in (F.lit(1.0), F.coalesce(F.nanvl("r", F.lit(EPS)), F.lit(EPS))) for i in range(rank) for j in range(rank)]
-    flat = np.array(list(joined.agg(*sums).first()), np.float64).reshape(2, rank, rank)
-    return np.linalg.pinv(flat[0]) @ flat[1]
+    numbered = spark.createDataFrame([(b, c, i) for i, (b, c) in enumerate(rows)], "block_id int, component int, row int")
+    series = v.join(F.broadcast(numbered), ["block_id", "component"]).groupBy("t").agg(F.map_from_entries(F.collect_list(F.struct("row", "value"))).alias("m"))
+    series = series.select("t", F.transform(F.sequence(F.lit(0), F.lit(len(rows) - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("v")).persist(StorageLevel.MEMORY_AND_DISK)
+    squares, vectors = np.linalg.eigh(comoments(series, "v", "v").products)
+    n = min(k, len(rows))
+    first = np.argsort(-squares)[:n]
+    s, left = np.sqrt(np.maximum(squares[first], 0)), vectors[:, first]
+    mixed = spark.createDataFrame([(b, c, list(map(float, left[i]))) for i, (b, c) in enumerate(rows)], "block_id int, component int, w array<double>")
+    block_u = parts.filter("kind = 'u'").select("block_id", "component", F.col("at").cast("int").alias("pixel_id"), "value").join(F.broadcast(mixed), ["block_id", "component"])  # a row for each tile's component
+    per_block = block_u.select("block_id", "pixel_id", F.posexplode(F.transform("w", lambda w: w * F.col("value"))).alias("component", "value")).groupBy("block_id", "pixel_id", "component").agg(F.sum("value").alias("value"))
+    temporal = series.select("t", F.posexplode(mapped("v", lambda x: x @ left, "array<double>")).alias("component", "value"))
+    return events.assemble_blocks(per_block), temporal.select("t", "component", "value"), s
+
+
+def correction_matrix(spatial: DataFrame, coefficients: DataFrame) -> np.ndarray:
+    """T = pinv(U^T U) U^T diag(r) U from two rank x rank sums over pixels, made in one pass."""
+    weight = F.coalesce(F.nanvl("r", F.lit(EPS)), F.lit(EPS))
+    joined = spatial.join(coefficients, "pixel_id").select("u", F.concat("u", F.transform("u", lambda x: x * weight)).alias("both"))
+    m = comoments(joined, "u", "both").products
+    return np.linalg.pinv(m[:, : len(m)]) @ m[:, len(m) :]
 
 
 @dataclass
@@ -131,7 +200,7 @@ class Corrected:
     matrix: np.ndarray
 
 
-def hemodynamic_correction(spatial: DataFrame, temporal: DataFrame, rank: int, fs: float = 30.0, low: float = 14.0, high: float = 0.1, functional: int = 0, filters: bool = True) -> Corrected:
+def hemodynamic_correction(spatial: DataFrame, temporal: DataFrame, fs: float = 30.0, low: float = 14.0, high: float = 0.1, functional: int = 0, filters: bool = True) -> Corrected:
     """The signal channel without what the reference channel explains: high-pass both, low-pass the reference where ``low`` is under fs / 2,
     take means off, regress by pixel through the origin, project the pixels' coefficients on the components, subtract, take means off."""
     long = stats.components_long(temporal)
@@ -149,11 +218,10 @@ def hemodynamic_correction(spatial: DataFrame, temporal: DataFrame, rank: int, f
     def arrays(series: DataFrame) -> DataFrame:
         return series.groupBy("t").agg(F.transform(F.array_sort(F.collect_list(F.struct("component", "value"))), lambda s: s["value"]).alias("v")).select(F.col("t").alias("frame_id"), "v")
 
-    a, b = centred(a).persist(), centred(b).persist()
+    a, b = centred(a).persist(StorageLevel.MEMORY_AND_DISK), centred(b).persist(StorageLevel.MEMORY_AND_DISK)
     va, vb = arrays(a), arrays(b)
-    r = stats.regression_coefficients(spatial, va, vb, rank)
-    m = correction_matrix(spatial, r, rank)
-    weights = F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in m])
-    moved = vb.select("frame_id", F.posexplode(F.transform(weights, lambda w: F.aggregate(F.zip_with(w, F.col("v"), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x))).alias("component", "moved"))
+    r = stats.regression_coefficients(spatial, va, vb)
+    m = correction_matrix(spatial, r)
+    moved = vb.select("frame_id", F.posexplode(mapped("v", lambda x: x @ m.T, "array<double>")).alias("component", "moved"))
     rest = a.withColumnRenamed("t", "frame_id").join(moved, ["frame_id", "component"]).select("component", F.col("frame_id").alias("t"), (F.col("value") - F.col("moved")).alias("value"))
     return Corrected(centred(rest), r, m)

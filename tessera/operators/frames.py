@@ -31,15 +31,17 @@ def mean_map(movie: DataFrame, chunk: int = 64) -> DataFrame:
 def dff(movie: DataFrame, baseline: DataFrame, divide: bool = True, eps: float = EPS) -> DataFrame:
     """(x - f0) / f0 by the baseline of the pixel (and trial, where the baseline has one); the difference only with ``divide=False``.
 
-    The baseline has a row a pixel, so Catalyst broadcasts it by its size and the movie is not shuffled."""
+    A baseline without trials has a row for each pixel and channel, a bound that the camera sets whatever the movie's length: it is broadcast, and
+    the movie is not shuffled. Spark would judge it by the movie it is an aggregate of."""
     keys = [k for k in ("trial_id", "channel", "pixel_id") if k in baseline.columns]
     f = F.col("f0") + eps
-    return movie.join(baseline.select(*keys, "f0"), keys).withColumn("value", (F.col("value") - f) / f if divide else F.col("value") - f).drop("f0")
+    base = baseline.select(*keys, "f0")
+    return movie.join(base if "trial_id" in keys else F.broadcast(base), keys).withColumn("value", (F.col("value") - f) / f if divide else F.col("value") - f).drop("f0")
 
 
 def inverse_dff(rel: DataFrame, baseline: DataFrame) -> DataFrame:
     """x = rel * f0 + f0."""
-    return rel.join(baseline, ["channel", "pixel_id"]).withColumn("value", F.col("value") * F.col("f0") + F.col("f0")).drop("f0")
+    return rel.join(F.broadcast(baseline), ["channel", "pixel_id"]).withColumn("value", F.col("value") * F.col("f0") + F.col("f0")).drop("f0")
 
 
 def bin_size(n_frames: int, k: int, per_bin: int, max_bins: int) -> tuple[int, int]:
@@ -143,16 +145,19 @@ def as_of(rows: DataFrame, marks: DataFrame, at: str, mark_at: str, keep: list[s
 
     Rows and marks are numbered along one axis in buckets of ``bucket``; the last mark of the buckets before comes from a window over the
     bucket summaries, a row a bucket, so no task sorts the whole axis."""
-    packed = F.struct(F.col(mark_at).alias("_at"), *keep)
+    z = "_"  # no column of the two tables starts like the columns added here
+    while any(c.startswith(z) for c in (*rows.columns, *marks.columns)):
+        z += "_"
+    packed = F.struct(F.col(mark_at).alias(f"{z}at"), *keep)
     b = lambda c: F.floor(F.col(c) / bucket)
-    m = marks.select(b(mark_at).alias("_b"), F.col(mark_at).cast("long").alias("_k"), packed.alias("_m"))
-    r = rows.withColumn("_b", b(at)).withColumn("_k", F.col(at).cast("long"))
-    summary = r.groupBy("_b").agg(F.lit(None).cast(m.schema["_m"].dataType).alias("_m")).unionByName(m.groupBy("_b").agg(F.max("_m").alias("_m"))).groupBy("_b").agg(F.max("_m").alias("_m"))
-    before = summary.select("_b", F.last("_m", True).over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
-    both = r.withColumn("_m", F.lit(None).cast(m.schema["_m"].dataType)).withColumn("_o", F.lit(0 if strict else 1)).unionByName(m.withColumn("_o", F.lit(1 if strict else 0)), allowMissingColumns=True).withColumn("_row", F.col("_o") == (0 if strict else 1))
-    here = both.withColumn("_here", F.last("_m", True).over(Window.partitionBy("_b").orderBy("_k", "_o").rowsBetween(Window.unboundedPreceding, 0))).filter("_row")
-    out = here.join(before, "_b").withColumn("_got", F.coalesce("_here", "_before"))
+    m = marks.select(b(mark_at).alias(f"{z}b"), F.col(mark_at).cast("long").alias(f"{z}k"), packed.alias(f"{z}m"))
+    r = rows.withColumn(f"{z}b", b(at)).withColumn(f"{z}k", F.col(at).cast("long"))
+    summary = r.groupBy(f"{z}b").agg(F.lit(None).cast(m.schema[f"{z}m"].dataType).alias(f"{z}m")).unionByName(m.groupBy(f"{z}b").agg(F.max(f"{z}m").alias(f"{z}m"))).groupBy(f"{z}b").agg(F.max(f"{z}m").alias(f"{z}m"))
+    before = summary.select(f"{z}b", F.last(f"{z}m", True).over(Window.orderBy(f"{z}b").rowsBetween(Window.unboundedPreceding, -1)).alias(f"{z}before"))
+    both = r.withColumn(f"{z}m", F.lit(None).cast(m.schema[f"{z}m"].dataType)).withColumn(f"{z}o", F.lit(0 if strict else 1)).unionByName(m.withColumn(f"{z}o", F.lit(1 if strict else 0)), allowMissingColumns=True).withColumn(f"{z}row", F.col(f"{z}o") == (0 if strict else 1))
+    here = both.withColumn(f"{z}here", F.last(f"{z}m", True).over(Window.partitionBy(f"{z}b").orderBy(f"{z}k", f"{z}o").rowsBetween(Window.unboundedPreceding, 0))).filter(f"{z}row")
+    out = here.join(before, f"{z}b").withColumn(f"{z}got", F.coalesce(f"{z}here", f"{z}before"))
     if first:
-        start = marks.agg(F.min(packed).alias("_first"))
-        out = out.crossJoin(F.broadcast(start)).withColumn("_got", F.coalesce("_got", "_first"))  # one row
-    return out.select(*rows.columns, *[F.col(f"_got.{c}").alias(c) for c in keep])
+        start = marks.agg(F.min(packed).alias(f"{z}first"))
+        out = out.crossJoin(F.broadcast(start)).withColumn(f"{z}got", F.coalesce(f"{z}got", f"{z}first"))  # one row
+    return out.select(*rows.columns, *[F.col(f"{z}got.{c}").alias(c) for c in keep])

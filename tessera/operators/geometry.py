@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import events
+
 IDENTITY = (1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0)
 
 
@@ -67,20 +72,43 @@ def warp(image: DataFrame, m: tuple[float, ...], height: int, width: int) -> Dat
     return out.select(*keys, F.col("out_id").alias("pixel_id"), F.col("oy").alias("y"), F.col("ox").alias("x"), F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
-def points_in_regions(points: DataFrame, edges: DataFrame, slack: float = 0.01) -> DataFrame:
+def points_in_regions(points: DataFrame, edges: DataFrame, slack: float = 0.01, most: int = 1_000_000) -> DataFrame:
     """``point_id, region_id, side``: the first region, by number, whose contour the point is within or at most ``slack`` beyond; of a region's sides
     the right one wins. Points in none are left out.
 
-    ``edges`` (region_id, side, x0, y0, x1, y1) are an atlas's, a bounded table; each point's crossings and distances fold to a row a contour."""
-    e = points.crossJoin(F.broadcast(edges))  # an atlas's edges: tens of thousands at most, whatever the points are
-    px, py, dx, dy = F.col("x"), F.col("y"), F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
-    crosses = ((F.col("y0") > py) != (F.col("y1") > py)) & (px < dx * (py - F.col("y0")) / dy + F.col("x0"))
-    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(dx * dx + dy * dy > 0, ((px - F.col("x0")) * dx + (py - F.col("y0")) * dy) / (dx * dx + dy * dy)).otherwise(0.0)))
-    far = F.sqrt((px - F.col("x0") - t * dx) ** 2 + (py - F.col("y0") - t * dy) ** 2)
-    each = e.groupBy("point_id", "region_id", "side").agg((F.sum(F.when(crosses, 1).otherwise(0)) % 2).alias("odd"), F.min(far).alias("far"))
-    hits = each.filter((F.col("odd") == 1) | (F.col("far") <= slack))
-    best = hits.groupBy("point_id").agg(F.min(F.struct("region_id", F.when(F.col("side") == "right", 0).otherwise(1).alias("k"), "side")).alias("b"))
-    return best.select("point_id", "b.region_id", "b.side")
+    ``edges`` (region_id, side, x0, y0, x1, y1) are an atlas's: over ``most`` they are refused. They go to the workers, where a batch of points
+    meets one contour after the other, so points are neither multiplied nor shuffled."""
+    n = edges.count()
+    if n > most:
+        raise ValueError(f"{n} edges are no atlas's")
+    rows = edges.select("region_id", "side", *[F.col(c).cast("double") for c in ("x0", "y0", "x1", "y1")]).collect()
+    contours: dict[tuple, list] = {}
+    for r in rows:
+        contours.setdefault((r[0], r[1] != "right", r[1]), []).append(tuple(r)[2:])
+    held = points.sparkSession.sparkContext.broadcast([(k[0], k[2], np.array(v).T) for k, v in sorted(contours.items())])
+
+    def inside(x: np.ndarray, y: np.ndarray, c: np.ndarray) -> np.ndarray:
+        odd, far = np.zeros(len(x), bool), np.full(len(x), np.inf)
+        for x0, y0, x1, y1 in c.T:
+            dx, dy = x1 - x0, y1 - y0
+            if dy:
+                odd ^= ((y0 > y) != (y1 > y)) & (x < dx * (y - y0) / dy + x0)
+            t = np.clip(((x - x0) * dx + (y - y0) * dy) / (dx * dx + dy * dy), 0, 1) if dx or dy else 0.0
+            far = np.minimum(far, np.hypot(x - x0 - t * dx, y - y0 - t * dy))
+        return odd | (far <= slack)
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            x, y = b["x"].to_numpy(np.float64), b["y"].to_numpy(np.float64)
+            found = np.full(len(b), -1)
+            for k, (_, _, c) in enumerate(held.value):
+                open_ = np.flatnonzero(found < 0)
+                found[open_[inside(x[open_], y[open_], c)]] = k
+            at = found[found >= 0]
+            yield pd.DataFrame({"point_id": b["point_id"][found >= 0], "region_id": [held.value[k][0] for k in at], "side": [held.value[k][1] for k in at]})
+
+    kinds = {f.name: f.dataType.simpleString() for f in [*points.schema, *edges.schema]}
+    return points.select("point_id", F.col("x").cast("double"), F.col("y").cast("double")).mapInPandas(work, f"point_id {kinds['point_id']}, region_id {kinds['region_id']}, side string")
 
 
 def contour_pixels(vertices: DataFrame, samples: int, height: int, width: int) -> DataFrame:
@@ -126,6 +154,29 @@ def phase_hsv(maps: DataFrame, value_p: float = 0.98, saturation_p: float = 0.90
     return maps.crossJoin(F.broadcast(p)).select("pixel_id", held(F.col("phase") / (2 * math.pi)).alias("h"), held(F.col("mag") ** 0.3 / F.col("ps")).alias("s"), held(F.col("mag") / F.col("pv")).alias("v"))  # one row
 
 
+def argmax_hsv(maps: DataFrame, n_frames: int, value_p: float = 0.98, saturation_p: float = 0.90) -> DataFrame:
+    """``pixel_id, h, s, v`` of (pixel_id, frame_id, peak, mean): the frame of the greatest value over the number of frames, the peak over the mean,
+    and the peak, over their percentiles, in 0..1."""
+    p = maps.agg(F.percentile("peak", F.lit(value_p)).alias("pv"), F.percentile(F.col("peak") - F.col("mean"), F.lit(saturation_p)).alias("ps"))
+    held = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    return maps.crossJoin(F.broadcast(p)).select("pixel_id", held(F.col("frame_id") / n_frames).alias("h"), held((F.col("peak") - F.col("mean")) / F.col("ps")).alias("s"), held(F.col("peak") / F.col("pv")).alias("v"))  # one row
+
+
+def projection(name: str = "std") -> Callable[[Column], Column]:
+    """An aggregate over a pixel's frames, by name; any other function from a column to an aggregate does as well."""
+    return {"std": F.stddev_pop, "mean": F.avg, "max": F.max, "min": F.min, "median": F.median, "var": F.var_pop}[name]
+
+
+def combined_hsv(stacks: DataFrame, project: Callable[[Column], Column] = F.stddev_pop, value_p: float = 0.98, saturation_p: float = 0.98) -> DataFrame:
+    """``pixel_id, h, s, v`` of several stacks (stack, frame_id, pixel_id, value), numbered from 0: each is projected over its frames, and the
+    first Fourier component along the stacks gives the phase (h) and the magnitude (s and v, over its percentiles), in 0..1."""
+    each = stacks.groupBy("stack", "pixel_id").agg(project(F.col("value")).alias("value"))
+    m = events.dft_bin(each, 1, ("pixel_id",), at="stack")
+    p = m.agg(F.percentile("mag", F.lit(value_p)).alias("pv"), F.percentile("mag", F.lit(saturation_p)).alias("ps"))
+    held = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    return m.crossJoin(F.broadcast(p)).select("pixel_id", held(F.col("phase") / (2 * math.pi)).alias("h"), held(F.col("mag") / F.col("ps")).alias("s"), held(F.col("mag") / F.col("pv")).alias("v"))  # one row
+
+
 def hsv_rgb(hsv: DataFrame) -> DataFrame:
     """``r, g, b`` in 0..255 beside h, s, v in 0..1."""
     k = lambda n: (F.lit(float(n)) + F.col("h") * 6) % 6

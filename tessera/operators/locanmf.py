@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.algebra import comoments, mapped
+
 
 def hals(u: np.ndarray, v: np.ndarray, areas: list[np.ndarray], ranks: list[int], penalty: np.ndarray, steps: int, nonnegative: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(A: pixels x components, C: components x time, area of each component) of u v, A non-negative, each component drawn to its area."""
@@ -46,8 +48,7 @@ def locanmf(spatial: DataFrame, temporal: DataFrame, atlas: DataFrame, rank: int
         raise ValueError("the spatial factor is too large for one machine")
     pdf = rows.toPandas()
     u = np.stack(pdf["u"].to_list())
-    grams = temporal.agg(*[F.sum(F.col("v")[i] * F.col("v")[j]) for i in range(rank) for j in range(rank)]).first()
-    w, q = np.linalg.eigh(np.array(list(grams), np.float64).reshape(rank, rank))
+    w, q = np.linalg.eigh(comoments(temporal, "v", "v").products)
     root = np.sqrt(np.maximum(w, 0))[:, None] * q.T  # v in its own row space: the same Gram matrix, rank x rank
     ids = [i for i, n in pdf["area_id"].value_counts().sort_index().items() if n >= min_pixels]
     areas = [np.flatnonzero(pdf["area_id"].to_numpy() == i) for i in ids]
@@ -70,8 +71,7 @@ def locanmf(spatial: DataFrame, temporal: DataFrame, atlas: DataFrame, rank: int
             ranks[k] += 1
     spark = spatial.sparkSession
     back = c @ np.linalg.pinv(root)  # components x rank: c = back v
-    mix = F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in back])
-    series = temporal.select("t", F.posexplode(F.transform(mix, lambda m: F.aggregate(F.zip_with(m, F.col("v"), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x))).alias("component", "value"))
+    series = temporal.select("t", F.posexplode(mapped("v", lambda x: x @ back.T, "array<double>")).alias("component", "value"))
     return (
         spark.createDataFrame(pd.DataFrame({"pixel_id": pdf["pixel_id"], "a": a.tolist()}), "pixel_id int, a array<double>"),
         series.select("component", "t", "value"),

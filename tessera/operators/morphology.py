@@ -61,25 +61,33 @@ def fill_holes(mask: np.ndarray) -> np.ndarray:
 
 
 def label_regions(mask: np.ndarray) -> np.ndarray:
-    """Four-connected regions numbered from 1 in the order of their first pixels, by union-find over runs of neighbours."""
+    """Four-connected regions numbered from 1 in the order of their first pixels. Runs of pixels along rows are the nodes; runs of rows one above the
+    other that overlap are joined, all of them at once, until none changes."""
     h, w = mask.shape
-    up = np.arange(h * w)
-
-    def root(a: int) -> int:
-        while up[a] != a:
-            up[a] = up[up[a]]
-            a = up[a]
-        return a
-
-    flat = mask.ravel()
-    ids = np.arange(h * w).reshape(h, w)
-    right, down = mask[:, :-1] & mask[:, 1:], mask[:-1] & mask[1:]
-    for a, b in [*zip(ids[:, :-1][right], ids[:, 1:][right], strict=True), *zip(ids[:-1][down], ids[1:][down], strict=True)]:
-        a, b = root(int(a)), root(int(b))
-        up[max(a, b)] = min(a, b)
-    roots = np.array([root(k) if flat[k] else -1 for k in range(h * w)])
-    names = {r: n + 1 for n, r in enumerate(sorted(set(roots[roots >= 0].tolist())))}
-    return np.array([names.get(int(r), 0) for r in roots]).reshape(h, w)
+    edges = np.diff(np.pad(mask.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    row, start = np.nonzero(edges == 1)
+    stop = np.nonzero(edges == -1)[1]
+    # runs of one row and the next overlap where each starts before the other stops: a range of neighbours for each run
+    key = w + 2
+    low = np.searchsorted(row * key + stop, (row + 1) * key + start, "right")
+    high = np.searchsorted(row * key + start, (row + 1) * key + stop, "left")
+    n = np.maximum(0, high - low)
+    i = np.repeat(np.arange(len(row)), n)
+    j = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    root = np.arange(len(row))
+    while True:
+        a, b = root[i], root[j]
+        apart = a != b
+        if not apart.any():
+            break
+        np.minimum.at(root, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while (root[root] != root).any():
+            root = root[root]
+    number = np.cumsum(root == np.arange(len(row)))[root] if len(row) else root
+    out = np.zeros(h * w + 1, np.int64)  # a run's number is added where it starts and taken off where it stops
+    np.add.at(out, row * w + start, number)
+    np.add.at(out, row * w + stop, -number)
+    return np.cumsum(out[:-1]).reshape(h, w)
 
 
 def drop_small(mask: np.ndarray, least: int) -> np.ndarray:

@@ -10,18 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def shift_image(im: np.ndarray, dy: float, dx: float, rot_deg: float = 0.0) -> np.ndarray:
-    """out(y, x) = im at (y + dy, x + dx), turned about the centre, bilinear; zero outside."""
+def sampled(im: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The image at (y, x), bilinear; zero outside."""
     h, w = im.shape
-    y, x = np.mgrid[0:h, 0:w].astype(np.float64)
-    if rot_deg:
-        c, s = np.cos(np.radians(rot_deg)), np.sin(np.radians(rot_deg))
-        cy, cx = (h - 1) / 2, (w - 1) / 2
-        y, x = cy + s * (x - cx) + c * (y - cy), cx + c * (x - cx) - s * (y - cy)
-    y, x = y + dy, x + dx
     y0, x0 = np.floor(y).astype(int), np.floor(x).astype(int)
     fy, fx = y - y0, x - x0
-    out = np.zeros((h, w))
+    out = np.zeros(y.shape)
     for i in (0, 1):
         for j in (0, 1):
             ok = (y0 + i >= 0) & (y0 + i < h) & (x0 + j >= 0) & (x0 + j < w)
@@ -29,6 +23,25 @@ def shift_image(im: np.ndarray, dy: float, dx: float, rot_deg: float = 0.0) -> n
     return out
 
 
+def shift_image(im: np.ndarray, dy: float, dx: float, rot_deg: float = 0.0) -> np.ndarray:
+    """out(y, x) = im at (y + dy, x + dx), turned about the centre, bilinear; zero outside."""
+    h, w = im.shape
+    y, x = np.mgrid[0:h, 0:w].astype(np.float64)
+    if rot_deg:
+        c, s = np.cos(np.radians(rot_deg)), np.sin(np.radians(rot_deg))
+        cy, cx = (h - 1) / 2, (w - 1) / 2
+        y, x = cy + s * (x - cx) + c * (y - cy), cx + c * (x - cx) - s * (y - cy)
+    return sampled(im, y + dy, x + dx)
+
+
+def warp_image(im: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """out(x, y) = im at M (x, y, 1), bilinear; zero outside."""
+    h, w = im.shape
+    y, x = np.mgrid[0:h, 0:w].astype(np.float64)
+    at = np.tensordot(m, np.stack([x, y, np.ones_like(x)]), 1)
+    return sampled(im, at[1] / at[2], at[0] / at[2])
+
+
 def phase_shift(template: np.ndarray, im: np.ndarray) -> tuple[float, float]:
     """(dy, dx) by which the image's content is moved against the template: the peak of the phase correlation, by the weighted centre of its
     neighbourhood."""
@@ -69,19 +82,72 @@ def ecc(template: np.ndarray, im: np.ndarray, steps: int = 100, eps: float = 1e-
     return float(dy), float(dx), float(rot)
 
 
+def ecc_matrix(template: np.ndarray, im: np.ndarray, model: str = "affine", steps: int = 100, eps: float = 1e-6) -> np.ndarray:
+    """The 3 x 3 matrix, ``affine`` or ``homography``, by which ``warp_image`` brings the image to the template: Gauss-Newton on the enhanced
+    correlation of windowed images, in coordinates of -1 to 1 about the centre, from the phase correlation's shift on. The best step counts."""
+    h, w = template.shape
+    win = np.outer(np.hanning(h), np.hanning(w))
+    t = (template - (template * win).sum() / win.sum()) * win
+    t = t / max(float(np.sqrt((t * t).sum())), 1e-12)
+    scale, cy, cx = max(h, w) / 2, (h - 1) / 2, (w - 1) / 2
+    to_unit = np.array([[1 / scale, 0, -cx / scale], [0, 1 / scale, -cy / scale], [0, 0, 1.0]])
+    back = np.linalg.inv(to_unit)
+    y, x = (np.mgrid[0:h, 0:w] - np.array([cy, cx])[:, None, None]) / scale
+    one = np.ones_like(x)
+    dy, dx = phase_shift(template, im)
+    m = np.array([[1, 0, dx / scale], [0, 1, dy / scale], [0, 0, 1.0]])
+    best, best_rho, last = m, -1.0, -1.0
+    grad = np.gradient(im.astype(np.float64))
+    for _ in range(steps):
+        at = np.tensordot(m, np.stack([x, y, one]), 1)
+        d = at[2]
+        px, py = at[0] / d, at[1] / d
+        iy, ix = py * scale + cy, px * scale + cx
+        v = sampled(im, iy, ix)
+        gy, gx = sampled(grad[0], iy, ix) * scale * win / d, sampled(grad[1], iy, ix) * scale * win / d
+        v = (v - (v * win).sum() / win.sum()) * win
+        norm = max(float(np.sqrt((v * v).sum())), 1e-12)
+        rho = float((v * t).sum()) / norm
+        if rho > best_rho:
+            best, best_rho = m, rho
+        if abs(rho - last) < eps:
+            break
+        last = rho
+        parts = [gx * x, gx * y, gx, gy * x, gy * y, gy]
+        if model == "homography":
+            fall = -(gx * px + gy * py)
+            parts += [fall * x, fall * y]
+        step = np.linalg.lstsq(np.stack([p.ravel() for p in parts], 1), (t * norm / max(rho, 1e-6) - v).ravel(), rcond=None)[0]
+        m = m + np.append(step, np.zeros(9 - len(step))).reshape(3, 3)
+    found = back @ best @ to_unit
+    return found / found[2, 2]
+
+
+MODES = ("2d", "ecc", "affine", "homography")
+
+
 def register_frames(frames: DataFrame, templates: dict[int, np.ndarray], height: int, width: int, mode: str = "2d", top: float = 65535.0) -> DataFrame:
-    """The frames registered to their channel's template, held to 0..top, with ``dy, dx, rot_deg`` of each; mode 2d (shifts) or ecc."""
-    if mode not in ("2d", "ecc"):
+    """The frames registered to their channel's template, held to 0..top, with ``dy, dx, rot_deg`` of each: in the modes 2d (shifts) and ecc (shifts
+    and a turn) those of the transform; in the modes affine and homography the centre's shift and the turn of the x axis."""
+    if mode not in MODES:
         raise ValueError(f"no mode {mode}")
     held = frames.sparkSession.sparkContext.broadcast(templates)  # a frame a channel
 
+    def one(template: np.ndarray, im: np.ndarray) -> tuple[np.ndarray, float, float, float]:
+        if mode in ("2d", "ecc"):
+            dy, dx, rot = (*phase_shift(template, im), 0.0) if mode == "2d" else ecc(template, im)
+            return shift_image(im, dy, dx, rot), dy, dx, rot
+        m = ecc_matrix(template, im, mode)
+        x, y = (width - 1) / 2, (height - 1) / 2
+        at = m @ np.array([x, y, 1.0])
+        return warp_image(im, m), float(at[1] / at[2] - y), float(at[0] / at[2] - x), float(np.degrees(np.arctan2(m[1, 0], m[0, 0])))
+
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for f, c, p in zip(b["frame_id"], b["channel"], b["pixels"], strict=True):
-                im = np.asarray(p, np.float64).reshape(height, width)
-                dy, dx, rot = (*phase_shift(held.value[c], im), 0.0) if mode == "2d" else ecc(held.value[c], im)
-                rows.append((f, c, np.clip(shift_image(im, dy, dx, rot), 0, top).ravel(), dy, dx, rot))
+                moved, dy, dx, rot = one(held.value[c], np.asarray(p, np.float64).reshape(height, width))
+                rows.append((f, c, np.clip(moved, 0, top).ravel(), dy, dx, rot))
             yield pd.DataFrame(rows, columns=["frame_id", "channel", "pixels", "dy", "dx", "rot_deg"])
 
     return frames.select("frame_id", "channel", "pixels").mapInPandas(work, "frame_id long, channel int, pixels array<double>, dy double, dx double, rot_deg double")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -17,19 +18,36 @@ def butter2(cut: float, fs: float, high: bool) -> tuple[np.ndarray, np.ndarray]:
     return b, np.array([1.0, 2 * n * (k * k - 1), n * (1 - math.sqrt(2) * k + k * k)])
 
 
-def recursion(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """The filter run once over the last axis, from the steady state of the first sample."""
+@functools.lru_cache(maxsize=32)
+def block_response(b: tuple[float, ...], a: tuple[float, ...], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What a block of n samples and the state before it give: outputs by samples (n, n) and by state (2, n), the state after it by samples (n, 2)
+    and by state (2, 2). Each row is the answer to one unit sample or unit state."""
+    x = np.eye(n + 2, n)
+    z0, z1 = np.zeros(n + 2), np.zeros(n + 2)
+    z0[n], z1[n + 1] = 1, 1
+    out = np.empty((n + 2, n))
+    for k in range(n):
+        v = x[:, k].copy()
+        v[n:] = 0
+        out[:, k] = b[0] * v + z0
+        z0, z1 = b[1] * v - a[1] * out[:, k] + z1, b[2] * v - a[2] * out[:, k]
+    after = np.stack([z0, z1], 1)
+    return out[:n], out[n:], after[:n], after[n:]
+
+
+def recursion(b: np.ndarray, a: np.ndarray, x: np.ndarray, block: int = 256) -> np.ndarray:
+    """The filter run once over the last axis, from the steady state of the first sample. The recursion is linear, so it goes on from block to block
+    by four matrices, all series at once."""
     # the state of a constant input of one: z = A z + B
     m = np.array([[1 + a[1], -1.0], [a[2], 1.0]])
     z = np.linalg.solve(m, np.array([b[1] - a[1] * b[0], b[2] - a[2] * b[0]]))
-    z0, z1 = z[0] * x[..., 0], z[1] * x[..., 0]
-    out = np.empty_like(x)
-    for k in range(x.shape[-1]):
-        v = x[..., k]
-        y = b[0] * v + z0
-        z0 = b[1] * v - a[1] * y + z1
-        z1 = b[2] * v - a[2] * y
-        out[..., k] = y
+    state = x[..., :1] * z
+    out = np.empty(x.shape)
+    for k in range(0, x.shape[-1], block):
+        v = x[..., k : k + block]
+        by_sample, by_state, next_sample, next_state = block_response(tuple(map(float, b)), tuple(map(float, a)), v.shape[-1])
+        out[..., k : k + block] = v @ by_sample + state @ by_state
+        state = v @ next_sample + state @ next_state
     return out
 
 

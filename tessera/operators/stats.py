@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.algebra import comoments, mapped, mean_array, quadratic, stacked
+
 
 def dot(a: str, b: str):
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0).cast("double"), lambda s, x: s + x)
@@ -19,48 +21,53 @@ def components_long(temporal: DataFrame) -> DataFrame:
     return temporal.select("t", "frame_id", "channel", F.posexplode("v").alias("component", "value"))
 
 
-def reconstruct(spatial: DataFrame, temporal: DataFrame) -> DataFrame:
+def reconstruct(spatial: DataFrame, temporal: DataFrame, side: int = 512) -> DataFrame:
     """``t, frame_id, channel, pixel_id, value``: the product of the factors, for the frames and pixels given. Filter both first: the result is
-    their product in rows. Each frame meets every pixel by the component, as one array product, with the smaller factor sent to the other."""
-    return temporal.crossJoin(spatial).select("t", "frame_id", "channel", "pixel_id", dot("u", "v").alias("value"))
-
+    their product in rows.
 
-def moments(temporal: DataFrame, rank: int) -> DataFrame:
-    """One row: ``n``, means ``m`` and the rank x rank mean products ``c`` of the components: all a pixel's mean and variance need."""
-    each = [F.avg(F.col("v")[i]).alias(f"m{i}") for i in range(rank)] + [F.covar_pop(F.col("v")[i], F.col("v")[j]).alias(f"c{i}_{j}") for i in range(rank) for j in range(rank)]
-    one = temporal.agg(F.count("*").alias("n"), *each)
-    return one.select("n", F.array(*[f"m{i}" for i in range(rank)]).alias("m"), F.array(*[F.array(*[f"c{i}_{j}" for j in range(rank)]) for i in range(rank)]).alias("c"))
+    Blocks of about ``side`` frames and ``side`` pixels are multiplied each in a group of its own, so neither factor is sent whole to a task."""
+    n_t, n_p = max(1, -(-temporal.count() // side)), max(1, -(-spatial.count() // side))
+    of = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    v = temporal.select("t", "frame_id", "channel", F.col("v").cast("array<double>").alias("v"), of("t", n_t).alias("ft")).withColumn("fp", every(n_p))
+    u = spatial.select(F.col("pixel_id").cast("int"), F.col("u").cast("array<double>").alias("u"), of("pixel_id", n_p).alias("fp")).withColumn("ft", every(n_t))
 
+    def work(frames: pd.DataFrame, pixels: pd.DataFrame) -> pd.DataFrame:
+        if not len(frames) or not len(pixels):
+            return pd.DataFrame({"t": [], "frame_id": [], "channel": [], "pixel_id": [], "value": []})
+        value = stacked(frames["v"]) @ stacked(pixels["u"]).T
+        each = {c: np.repeat(frames[c].to_numpy(), len(pixels)) for c in ("t", "frame_id", "channel")}
+        return pd.DataFrame(each | {"pixel_id": np.tile(pixels["pixel_id"].to_numpy(), len(frames)), "value": value.ravel()})
 
-def quadratic(u: str, c: str):
-    """u^T C u."""
-    rows = F.transform(c, lambda r: F.aggregate(F.zip_with(r, u, lambda x, y: x * y), F.lit(0.0).cast("double"), lambda s, x: s + x))
-    return F.aggregate(F.zip_with(rows, u, lambda x, y: x * y), F.lit(0.0).cast("double"), lambda s, x: s + x)
+    return v.groupBy("ft", "fp").cogroup(u.groupBy("ft", "fp")).applyInPandas(work, "t long, frame_id long, channel int, pixel_id int, value double")
 
 
-def pixel_stats(spatial: DataFrame, temporal: DataFrame, rank: int) -> DataFrame:
+def pixel_stats(spatial: DataFrame, temporal: DataFrame) -> DataFrame:
     """``pixel_id, mean, var, std`` of the reconstructed series (population variance): u.mean(v) and u^T Cov u, never the movie."""
-    rows = spatial.crossJoin(F.broadcast(moments(temporal, rank)))  # one row
-    return rows.select("pixel_id", dot("u", "m").alias("mean"), quadratic("u", "c").alias("var"), F.sqrt(F.greatest(F.lit(0.0), quadratic("u", "c"))).alias("std"))
+    m = comoments(temporal, "v", "v")
+    c = m.covariance(sample=False)
+    both = spatial.select("pixel_id", mapped("u", lambda x: x @ m.mean_a).alias("mean"), mapped("u", lambda x: quadratic(x, c)).alias("var"))
+    return both.withColumn("std", F.sqrt(F.greatest(F.lit(0.0), "var")))
 
 
 def apply_pixelwise(spatial: DataFrame, temporal: DataFrame, func: Callable[[np.ndarray], np.ndarray], limit: int = 50_000_000) -> DataFrame:
     """``pixel_id, value``: any reducer of (pixels x time) arrays along axis 1, on batches of pixels.
 
-    The temporal factor goes to the workers, after a check of its size (``limit`` numbers); a greater one is refused, to be reduced by a
-    statistic with a compressed form."""
+    The temporal factor goes to the workers, as one array of doubles and after a check of its size (``limit`` numbers); a greater one is
+    refused, to be reduced by a statistic with a compressed form."""
     n = temporal.count()
     rank = len(temporal.first()["v"]) if n else 0
     if n * rank > limit:
         raise ValueError(f"{n} x {rank} numbers are too many to send to the workers")
-    v = np.array([r["v"] for r in temporal.orderBy("t").select("v").collect()], np.float64).reshape(n, rank)
-    held = spatial.sparkSession.sparkContext.broadcast(v)
+    found = temporal.select("t", F.col("v").cast("array<double>").alias("v")).toArrow().sort_by("t")["v"].combine_chunks()
+    held = spatial.sparkSession.sparkContext.broadcast(found.flatten().to_numpy(zero_copy_only=False).reshape(n, rank))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = max(1, 8_000_000 // max(1, n))  # pixels whose series are held at a time
         for b in batches:
-            for k in range(0, len(b), 1024):
-                part = b.iloc[k : k + 1024]
-                yield pd.DataFrame({"pixel_id": part["pixel_id"], "value": func(np.stack(part["u"].to_list()) @ held.value.T)})
+            for k in range(0, len(b), rows):
+                part = b.iloc[k : k + rows]
+                yield pd.DataFrame({"pixel_id": part["pixel_id"], "value": func(stacked(part["u"]) @ held.value.T)})
 
     return spatial.select("pixel_id", "u").mapInPandas(work, "pixel_id int, value double")
 
@@ -70,44 +77,62 @@ def percentile_map(movie: DataFrame, p: float = 0.10) -> DataFrame:
     return movie.groupBy("pixel_id").agg(F.percentile("value", F.lit(p)).alias("value"))
 
 
-def regression_coefficients(spatial: DataFrame, signal: DataFrame, reference: DataFrame, rank: int, eps: float = 1e-10) -> DataFrame:
-    """``pixel_id, r``: sum(ab) / (sum(b^2) + eps) of a pixel's two channels, from two rank x rank matrices."""
+def regression_coefficients(spatial: DataFrame, signal: DataFrame, reference: DataFrame, eps: float = 1e-10) -> DataFrame:
+    """``pixel_id, r``: sum(ab) / (sum(b^2) + eps) of a pixel's two channels, from two rank x rank matrices, summed in one pass."""
     pairs = signal.select("frame_id", F.col("v").alias("a")).join(reference.select("frame_id", F.col("v").alias("b")), "frame_id")
-    grid = lambda x, y: F.array(*[F.array(*[F.sum(F.col(x)[i] * F.col(y)[j]) for j in range(rank)]) for i in range(rank)])
-    m = pairs.agg(grid("a", "b").alias("ab"), grid("b", "b").alias("bb"))
-    return spatial.crossJoin(F.broadcast(m)).select("pixel_id", (quadratic("u", "ab") / (quadratic("u", "bb") + eps)).alias("r"))  # one row
+    m = comoments(pairs.select("b", F.concat("b", "a").alias("ba")), "b", "ba").products
+    bb, ba = m[:, : len(m)], m[:, len(m) :]
+    return spatial.select("pixel_id", mapped("u", lambda x: quadratic(x, ba) / (quadratic(x, bb) + eps)).alias("r"))
 
 
-def component_covariance(temporal: DataFrame, rank: int) -> DataFrame:
-    """``i, j, value``: sample covariance of the components, in one pass."""
-    cells = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.covar_samp(F.col("v")[i], F.col("v")[j]).alias("value")) for i in range(rank) for j in range(rank)]
-    return temporal.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
+def component_covariance(temporal: DataFrame) -> DataFrame:
+    """``i, j, value``: sample covariance of the components, in one pass; null with fewer than two rows."""
+    c = comoments(temporal, "v", "v").covariance()
+    i, j = np.indices(c.shape)
+    rows = pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "value": c.ravel()})
+    return temporal.sparkSession.createDataFrame(rows, "i int, j int, value double").withColumn("value", F.nanvl("value", F.lit(None).cast("double")))
 
 
-def seed_correlation(spatial: DataFrame, temporal: DataFrame, seed: int, rank: int) -> DataFrame:
+def seed_correlation(spatial: DataFrame, temporal: DataFrame, seed: int) -> DataFrame:
     """``pixel_id, r``: covariance with the seed pixel over the product of deviations + 0.001; null at the seed, no row if there is no such pixel."""
-    cov = component_covariance(temporal, rank)
-    c = cov.groupBy("i").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "value"))), lambda s: s["value"]).alias("row")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "row"))), lambda s: s["row"]).alias("c"))
-    s = spatial.filter(F.col("pixel_id") == seed).select(F.col("u").alias("us"))
-    rows = spatial.crossJoin(F.broadcast(s)).crossJoin(F.broadcast(c))  # a row each
-    cu = F.transform("c", lambda r: F.aggregate(F.zip_with(r, F.col("u"), lambda x, y: x * y), F.lit(0.0).cast("double"), lambda z, x: z + x))
-    pair = F.aggregate(F.zip_with(cu, "us", lambda x, y: x * y), F.lit(0.0).cast("double"), lambda z, x: z + x)
-    r = pair / (F.sqrt(quadratic("us", "c")) * F.sqrt(quadratic("u", "c")) + 0.001)
-    return rows.select("pixel_id", F.when(F.col("pixel_id") != seed, r).alias("r"))
+    c = comoments(temporal, "v", "v").covariance()
+    at = spatial.filter(F.col("pixel_id") == seed).first()
+    if at is None:
+        return spatial.select("pixel_id", F.lit(None).cast("double").alias("r")).limit(0)
+    us = np.array(at["u"], np.float64)
+    own = float(np.sqrt(us @ c @ us))
+    r = mapped("u", lambda x: x @ (c @ us) / (own * np.sqrt(quadratic(x, c)) + 0.001))
+    return spatial.select("pixel_id", F.when(F.col("pixel_id") != seed, r).alias("r"))
 
 
-def roi_timecourse(spatial: DataFrame, temporal: DataFrame, roi: DataFrame, rank: int) -> DataFrame:
+def roi_timecourse(spatial: DataFrame, temporal: DataFrame, roi: DataFrame) -> DataFrame:
     """``t, value``: the mean over the region's pixels (pixel_id) as mean(u).v, by linearity."""
-    mean = spatial.join(roi.select("pixel_id").distinct(), "pixel_id", "left_semi").agg(F.array(*[F.avg(F.col("u")[k]) for k in range(rank)]).alias("mu"))
+    mean = mean_array(spatial.join(roi.select("pixel_id").distinct(), "pixel_id", "left_semi"), "u")
     return temporal.crossJoin(F.broadcast(mean)).select("t", dot("mu", "v").alias("value"))  # one row
 
 
-def gram(binned: DataFrame) -> DataFrame:
-    """``i, j, value`` (i <= j): sum over pixels of the product of two bins over the number of pixels. The join is by pixel; bins are few by construction."""
-    n = binned.select("channel", "pixel_id").distinct().count()
-    a = binned.select("channel", "pixel_id", F.col("bin").alias("i"), F.col("value").alias("a"))
-    b = binned.select("channel", "pixel_id", F.col("bin").alias("j"), F.col("value").alias("b"))
-    return a.join(b, ["channel", "pixel_id"]).filter("i <= j").groupBy("i", "j").agg((F.sum(F.col("a") * F.col("b")) / n).alias("value"))
+def gram(binned: DataFrame, held: int = 16_000_000) -> DataFrame:
+    """``i, j, value`` (i <= j): sum over pixels of the product of two bins over the number of pixels.
+
+    A block of pixels, of ``held`` numbers with all its bins, is one product of matrices; the blocks' products are added up by rows."""
+    spark = binned.sparkSession
+    n, bins = binned.agg(F.count_distinct("channel", "pixel_id"), F.coalesce(F.max("bin") + 1, F.lit(0))).first()
+    blocks = max(1, -(-n * bins // held))
+
+    def partial(pdf: pd.DataFrame) -> pd.DataFrame:
+        at = pd.factorize(pd.MultiIndex.from_frame(pdf[["channel", "pixel_id"]]))[0]
+        x = np.zeros((bins, at.max() + 1))
+        x[pdf["bin"].to_numpy(), at] = pdf["value"]
+        return pd.DataFrame({"i": np.arange(bins), "row": list(x @ x.T)})
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"i": pdf["i"].iloc[:1], "row": [stacked(pdf["row"]).sum(0)]})
+
+    if not n:
+        return spark.createDataFrame([], "i long, j long, value double")
+    parts = binned.withColumn("block", F.pmod(F.xxhash64("channel", "pixel_id"), F.lit(blocks))).groupBy("block").applyInPandas(partial, "i int, row array<double>")
+    rows = parts.groupBy("i").applyInPandas(whole, "i int, row array<double>")
+    return rows.select(F.col("i").cast("long"), F.posexplode("row").alias("j", "value")).filter("i <= j").select("i", F.col("j").cast("long"), (F.col("value") / n).alias("value"))
 
 
 def argmax_map(movie: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from tessera.operators import geometry as geo
 from tessera.operators import stats as st
 from tessera.plans.registry import query
 from tessera.sources import adapters as ad
-from tessera.sources.adapters import MOVIE, RANK, RECONSTRUCTED, SERIES, SIDE, SPATIAL, TEMPORAL, TRIALS
+from tessera.sources.adapters import MOVIE, RECONSTRUCTED, SERIES, SIDE, SPATIAL, TEMPORAL, TRIALS
 
 
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
@@ -90,7 +90,7 @@ def _(spark, d):
 @query("pixel_stats", f"WITH {RECONSTRUCTED} SELECT pixel_id, {r('avg(value)')} AS mean, {r('var_pop(value)')} AS var, {r('stddev_pop(value)')} AS std FROM full_movie GROUP BY pixel_id")
 def _(spark, d):
     """From the factors; the SQL reconstructs."""
-    return rounded(st.pixel_stats(ad.spatial(spark), ad.temporal(spark, d), RANK), "mean", "var", "std")
+    return rounded(st.pixel_stats(ad.spatial(spark), ad.temporal(spark, d)), "mean", "var", "std")
 
 
 @query("pixelwise_function", f"WITH {RECONSTRUCTED} SELECT pixel_id, {r('max(value) - min(value)')} AS value FROM full_movie GROUP BY pixel_id")
@@ -106,7 +106,7 @@ def _(spark, d):
 @query("hemo_coeffs", f"WITH {RECONSTRUCTED} SELECT a.pixel_id, {r('sum(a.value * b.value) / (sum(b.value * b.value) + 1e-10)')} AS r FROM full_movie a JOIN full_movie b USING (frame_id, pixel_id) WHERE a.channel = 0 AND b.channel = 1 GROUP BY 1")
 def _(spark, d):
     t = ad.temporal(spark, d)
-    return rounded(st.regression_coefficients(ad.spatial(spark), t.filter("channel = 0"), t.filter("channel = 1"), RANK), "r")
+    return rounded(st.regression_coefficients(ad.spatial(spark), t.filter("channel = 0"), t.filter("channel = 1")), "r")
 
 
 @query("interp_violet", f"""WITH {TEMPORAL}, b AS (SELECT *, lag(v) OVER w AS a, lead(v) OVER w AS b, lag(v, 3) OVER w AS a3, lead(v, 3) OVER w AS b3 FROM temporal WINDOW w AS (PARTITION BY k ORDER BY t))
@@ -117,29 +117,29 @@ def _(spark, d):
 
 @query("component_cov", f"WITH {TEMPORAL} SELECT a.k AS i, b.k AS j, {r('covar_samp(a.v, b.v)')} AS value FROM temporal a JOIN temporal b USING (t) GROUP BY ALL")
 def _(spark, d):
-    return rounded(st.component_covariance(ad.temporal(spark, d), RANK), "value")
+    return rounded(st.component_covariance(ad.temporal(spark, d)), "value")
 
 
 @query("seed_correlation", f"""WITH {RECONSTRUCTED}, s AS (SELECT t, value AS sv FROM full_movie WHERE pixel_id = 27)
  SELECT pixel_id, CASE WHEN pixel_id <> 27 THEN {r('covar_samp(value, sv) / (stddev_samp(value) * stddev_samp(sv) + 0.001)')} END AS r FROM full_movie JOIN s USING (t) GROUP BY pixel_id""")
 def _(spark, d):
-    return rounded(st.seed_correlation(ad.spatial(spark), ad.temporal(spark, d), 27, RANK), "r")
+    return rounded(st.seed_correlation(ad.spatial(spark), ad.temporal(spark, d), 27), "r")
 
 
 @query("correlation_rescaled", f"""WITH {RECONSTRUCTED}, s AS (SELECT t, value AS sv FROM full_movie WHERE pixel_id = 27)
  SELECT pixel_id, {r('(covar_samp(value, sv) / (stddev_samp(value) * stddev_samp(sv) + 0.001) + 1) / 2')} AS r FROM full_movie JOIN s USING (t) WHERE pixel_id <> 27 GROUP BY pixel_id""")
 def _(spark, d):
-    return rounded(st.seed_correlation(ad.spatial(spark), ad.temporal(spark, d), 27, RANK).filter("pixel_id <> 27").withColumn("r", fr.rescale(F.col("r"))), "r")
+    return rounded(st.seed_correlation(ad.spatial(spark), ad.temporal(spark, d), 27).filter("pixel_id <> 27").withColumn("r", fr.rescale(F.col("r"))), "r")
 
 
 @query("svd_roi_timecourse", f"WITH {RECONSTRUCTED} SELECT t, {r('avg(value)')} AS value FROM full_movie WHERE {ROI} GROUP BY t")
 def _(spark, d):
-    return rounded(st.roi_timecourse(ad.spatial(spark), ad.temporal(spark, d), roi(spark), RANK), "value")
+    return rounded(st.roi_timecourse(ad.spatial(spark), ad.temporal(spark, d), roi(spark)), "value")
 
 
 @query("roi_trace_window", f"WITH {RECONSTRUCTED} SELECT t, {r('avg(value)')} AS value FROM full_movie WHERE {ROI} AND t BETWEEN 100 - 50 AND 100 + 50 GROUP BY t")
 def _(spark, d):
-    return rounded(st.roi_timecourse(ad.spatial(spark), ad.temporal(spark, d).filter("t between 50 and 150"), roi(spark), RANK), "value")
+    return rounded(st.roi_timecourse(ad.spatial(spark), ad.temporal(spark, d).filter("t between 50 and 150"), roi(spark)), "value")
 
 
 @query("event_triggered_avg", f"""WITH {TEMPORAL}, {TRIALS}, e AS (SELECT min(frame_id) AS lo, max(frame_id) AS hi FROM temporal WHERE channel = 0)
@@ -525,6 +525,22 @@ def _(spark, d):
     return rounded(geo.phase_hsv(m), "h", "s", "v")
 
 
+@query("argmax_hsv", f"""WITH {MOVIE}, m AS (SELECT pixel_id, arg_max(frame_id, (value, -frame_id)) AS f, max(value) AS peak, avg(value) AS mean FROM movie WHERE channel = 0 GROUP BY 1), n AS (SELECT max(frame_id) + 1 AS n FROM movie),
+ q AS (SELECT quantile_cont(peak, 0.98) AS pv, quantile_cont(peak - mean, 0.9) AS ps FROM m) SELECT pixel_id, {r('f / n::DOUBLE')} AS h, {r('greatest(0, least(1, (peak - mean) / ps))')} AS s, {r('greatest(0, least(1, peak / pv))')} AS v FROM m, n, q""")
+def _(spark, d):
+    rows = one_channel(spark, d)
+    n = rows.agg(F.max("frame_id") + 1).first()[0] or 1
+    return rounded(geo.argmax_hsv(st.argmax_map(rows), n), "h", "s", "v")
+
+
+@query("combined_hsv", f"""WITH {MOVIE}, p AS (SELECT frame_id % 5 AS stack, pixel_id, stddev_pop(value) AS value FROM movie WHERE channel = 0 GROUP BY ALL),
+ x AS (SELECT pixel_id, sum(value * cos({PI2}::DOUBLE * stack / 5)) AS re, -sum(value * sin({PI2}::DOUBLE * stack / 5)) AS im FROM p GROUP BY 1), a AS (SELECT pixel_id, 2 * sqrt(re * re + im * im) / 5 AS mag, atan2(-im, re) AS t FROM x), q AS (SELECT quantile_cont(mag, 0.98) AS top FROM a)
+ SELECT pixel_id, {r(f'CASE WHEN t < 0 THEN t + {PI2} ELSE t END / {PI2}')} AS h, {r('greatest(0, least(1, mag / top))')} AS s, {r('greatest(0, least(1, mag / top))')} AS v FROM a, q""")
+def _(spark, d):
+    """Each fifth frame makes a stack; the deviation over its frames is its projection."""
+    return rounded(geo.combined_hsv(one_channel(spark, d).withColumn("stack", F.col("frame_id") % 5), geo.projection("std")), "h", "s", "v")
+
+
 @query("hsv_to_rgb", """WITH c AS (SELECT p_partkey AS id, (p_partkey % 100)::DOUBLE / 100 AS h, (p_size % 11)::DOUBLE / 10 AS s, (p_partkey % 17)::DOUBLE / 16 AS v FROM part),
  k AS (SELECT *, (5 + h * 6) % 6 AS k5, (3 + h * 6) % 6 AS k3, (1 + h * 6) % 6 AS k1 FROM c)
  SELECT id, round((v - v * s * greatest(0, least(k5, 4 - k5, 1))) * 255, 6) + 0.0 AS r, round((v - v * s * greatest(0, least(k3, 4 - k3, 1))) * 255, 6) + 0.0 AS g, round((v - v * s * greatest(0, least(k1, 4 - k1, 1))) * 255, 6) + 0.0 AS b FROM k""")
@@ -572,11 +588,11 @@ def _(spark, d):
 
 
 @query("warp_bilinear", f"""WITH {MOVIE}, o AS (SELECT CAST(p AS INTEGER) AS out_id, 0.9::DOUBLE * (p % 8) - 0.2::DOUBLE * (p // 8) + 1.5 AS sx, 0.2::DOUBLE * (p % 8) + 0.9::DOUBLE * (p // 8) - 0.75 AS sy FROM range(64) a(p)),
- i AS (SELECT frame_id, pixel_id, y, x, value FROM movie WHERE channel = 0 AND frame_id < 20), f AS (SELECT DISTINCT frame_id FROM i),
+ i AS (SELECT frame_id, pixel_id, y, x, value FROM movie WHERE channel = 0), f AS (SELECT DISTINCT frame_id FROM i),
  w AS (SELECT frame_id, out_id, sum(value * (1 - abs(sx - x)) * (1 - abs(sy - y))) AS value FROM i, o WHERE abs(sx - x) < 1 AND abs(sy - y) < 1 GROUP BY ALL)
  SELECT frame_id, out_id AS pixel_id, {r('coalesce(value, 0)')} AS value FROM f CROSS JOIN o LEFT JOIN w USING (frame_id, out_id)""")
 def _(spark, d):
-    i = one_channel(spark, d).filter("frame_id < 20").select("frame_id", "pixel_id", "y", "x", "value")
+    i = one_channel(spark, d).select("frame_id", "pixel_id", "y", "x", "value")
     return rounded(geo.warp(i, M, SIDE, SIDE).select("frame_id", "pixel_id", "value"), "value")
 
 
@@ -665,12 +681,15 @@ def _(spark, d):
     return rounded(ev.assemble_blocks(b.withColumn("value", (F.col("pixel_id") * 0.5 + F.col("block_id")) * (F.col("component") + 1))), "value")
 
 
-@query("led_channels", """WITH f AS (SELECT event_id AS frame_id, CASE WHEN event_id BETWEEN 21 AND 981 THEN 100 + value ELSE 0 END AS intensity FROM events WHERE event_id < 1000), l AS (SELECT frame_id FROM f, (SELECT avg(intensity) AS m FROM f) WHERE intensity - m / 2 > 0),
+@query("led_channels", """WITH f AS (SELECT event_id AS frame_id, CASE WHEN event_id BETWEEN 21 AND (SELECT max(event_id) FROM events) - 18 THEN 100 + value ELSE 0 END AS intensity FROM events), l AS (SELECT frame_id FROM f, (SELECT avg(intensity) AS m FROM f) WHERE intensity - m / 2 > 0),
  e AS (SELECT max(frame_id) AS last FROM l), m AS (SELECT frame_id, CASE WHEN (last - frame_id) % 2 = 0 THEN 'signal' ELSE 'reference' END AS role FROM l, e), k AS (SELECT * FROM m WHERE frame_id >= (SELECT min(frame_id) FROM m WHERE role = 'signal')),
  r AS (SELECT role, row_number() OVER (PARTITION BY role ORDER BY frame_id) - 1 AS position, frame_id FROM k) SELECT role, position, frame_id FROM r WHERE position < (SELECT min(c) FROM (SELECT count(*) AS c FROM r GROUP BY role))""")
 def _(spark, d):
-    f = ad.table(spark, d, "events").filter("event_id < 1000").select(F.col("event_id").alias("frame_id"), F.when(F.col("event_id").between(21, 981), F.col("value") + 100).otherwise(0.0).alias("intensity"))
-    return ev.led_channels(f, 500, 500, second_is_blue=True).withColumn("position", F.col("position").cast("long"))
+    """Frames of all events, of which the first and the last are dark; half of the pulses are of each LED."""
+    e = ad.table(spark, d, "events")
+    n, last = e.agg(F.count("*"), F.max("event_id")).first()
+    f = e.select(F.col("event_id").alias("frame_id"), F.when(F.col("event_id").between(21, last - 18), F.col("value") + 100).otherwise(0.0).alias("intensity"))
+    return ev.led_channels(f, n // 2, n // 2, second_is_blue=True).withColumn("position", F.col("position").cast("long"))
 
 
 @query("landmarks_json", "SELECT * FROM (VALUES ('OB_left', -1.95::DOUBLE, -3.45::DOUBLE), ('OB_center', 0::DOUBLE, -3.45::DOUBLE), ('OB_right', 1.95::DOUBLE, -3.45::DOUBLE), ('RSP_base', 0::DOUBLE, 3.2::DOUBLE)) t(name, x, y)")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Side of the square frames that the vectors are read as, components of the factor views, frames of a trial.
-SIDE, RANK, TRIAL = 8, 4, 25
+SIDE, RANK, TRIAL = 8, 64, 25
+STEP = math.pi / SIDE**2
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,9 +46,9 @@ def temporal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spatial(spark: SparkSession) -> DataFrame:
-    """``pixel_id, y, x, u``: RANK smooth spatial components of a SIDE x SIDE frame."""
+    """``pixel_id, y, x, u``: RANK spatial components of a SIDE x SIDE frame, cosines that are orthogonal over its pixels."""
     p = spark.range(SIDE * SIDE).select(F.col("id").cast("int").alias("pixel_id"))
-    u = F.array(*[F.cos(F.lit(0.1 * (k + 1)) * F.col("pixel_id").cast("double")) for k in range(RANK)])
+    u = F.array(*[F.cos(F.lit(STEP) * k * (F.col("pixel_id").cast("double") + 0.5)) for k in range(RANK)])
     return p.select("pixel_id", F.expr(f"int(pixel_id div {SIDE})").alias("y"), (F.col("pixel_id") % SIDE).cast("int").alias("x"), u.alias("u"))
 
 
@@ -70,7 +73,7 @@ def pixel_load(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 MOVIE = f"""movie AS (SELECT vec_id // 2 AS frame_id, CAST(vec_id % 2 AS INTEGER) AS channel, CAST(p AS INTEGER) AS pixel_id, CAST(p // {SIDE} AS INTEGER) AS y,
  CAST(p % {SIDE} AS INTEGER) AS x, 1000.0::DOUBLE + 100.0::DOUBLE * v::DOUBLE AS value FROM (SELECT vec_id, unnest(range(len(embedding))) AS p, unnest(embedding) AS v FROM embeddings))"""
-SPATIAL = f"spatial AS (SELECT CAST(p AS INTEGER) AS pixel_id, CAST(p // {SIDE} AS INTEGER) AS y, CAST(p % {SIDE} AS INTEGER) AS x, CAST(k AS INTEGER) AS k, cos((0.1::DOUBLE * (k + 1)) * p) AS u FROM range({SIDE * SIDE}) a(p), range({RANK}) b(k))"
+SPATIAL = f"spatial AS (SELECT CAST(p AS INTEGER) AS pixel_id, CAST(p // {SIDE} AS INTEGER) AS y, CAST(p % {SIDE} AS INTEGER) AS x, CAST(k AS INTEGER) AS k, cos({STEP}::DOUBLE * k * (p::DOUBLE + 0.5::DOUBLE)) AS u FROM range({SIDE * SIDE}) a(p), range({RANK}) b(k))"
 TEMPORAL = f"temporal AS (SELECT vec_id AS t, vec_id // 2 AS frame_id, CAST(vec_id % 2 AS INTEGER) AS channel, CAST(k AS INTEGER) AS k, embedding[k + 1]::DOUBLE AS v FROM embeddings, range({RANK}) b(k))"
 RECONSTRUCTED = f"{SPATIAL}, {TEMPORAL}, full_movie AS (SELECT t, frame_id, channel, pixel_id, any_value(y) AS y, any_value(x) AS x, sum(u * v) AS value FROM spatial JOIN temporal USING (k) GROUP BY t, frame_id, channel, pixel_id)"
 TRIALS = f"trials AS (SELECT DISTINCT CAST((vec_id // 2) // {TRIAL} AS INTEGER) AS trial_id, vec_id // 2 AS onset_frame, vec_id // 2 + 3 AS stim_frame FROM embeddings WHERE (vec_id // 2) % {TRIAL} = 5)"

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import events
-from tessera.sources import raw
+from tessera.sources import raw, store
 
 #: Analog channels of the two LEDs and the stimulus, and the image row that tells lit frames from dark ones.
 FIRST_LED, SECOND_LED, STIMULUS, PROBE_ROW = 0, 1, 2, 100
@@ -52,13 +55,16 @@ def split_roles(frames: DataFrame, analog: DataFrame) -> DataFrame:
     return ranked.join(short, "number").filter("position < c").select("number", "frame_id", "role", "position")
 
 
-def read_recording(spark: SparkSession, frame_files: list[str], analog_path: str, n_baseline: int = 30) -> Recording:
-    """Frame files, one a trial, and their analog files: an interleaved movie of signal and reference frames over all trials."""
-    parts = None
-    for k, path in enumerate(sorted(frame_files, key=raw.natural)):
-        number = raw.natural(path)[0]
-        f = raw.read_raw(spark, path).filter("channel = 0").withColumn("number", F.lit(number[-1] if number else k).cast("long"))
-        parts = f if parts is None else parts.unionByName(f)
+def read_recording(spark: SparkSession, frame_files: list[str], analog_path: str, n_baseline: int = 30, decoder=None) -> Recording:
+    """Frame files, one a trial, and their analog files: an interleaved movie of signal and reference frames over all trials.
+
+    Raw files are read by one reader, however many there are; TIFF and, with a ``decoder``, video files each by their pages."""
+    files = sorted(frame_files, key=raw.natural)
+    if all(p.lower().endswith((".dat", ".bin")) for p in files):
+        parts = raw.read_files(spark, files).filter("channel = 0")
+    else:
+        pages = raw.tiff_pages if files[0].lower().endswith((".tif", ".tiff")) else decoder
+        parts = numbered_pages(spark, files, pages)
     roles = split_roles(parts, raw.read_analog(spark, analog_path).select("number", "analog_channel", "sample", "value"))
     sizes = roles.filter("role = 'signal'").groupBy("number").agg(F.count("*").alias("n_frames")).withColumn("file_idx", F.col("number"))
     offsets = events.file_offsets(sizes).select("number", "first_frame")
@@ -67,3 +73,37 @@ def read_recording(spark: SparkSession, frame_files: list[str], analog_path: str
     trials = offsets.select(F.col("number").cast("int").alias("trial_id"), F.col("first_frame").alias("onset_frame"), F.col("first_frame").alias("stim_frame"))
     long = movie.select("frame_id", "channel", F.posexplode("pixels").alias("pixel_id", "value"))
     return Recording(movie, trials, events.trial_baseline(long, trials, n_baseline))
+
+
+def numbered_pages(spark: SparkSession, files: list[str], pages) -> DataFrame:
+    """``frame_id, channel, h, w, pixels, number``: the images of each file, counted within it."""
+    if pages is None:
+        raise NotImplementedError("video needs a decoder: a function from a file's bytes to its images")
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for p, content in zip(b["path"], b["content"], strict=True):
+                number = raw.natural(p)[0]
+                for k, page in enumerate(pages(content)):
+                    yield pd.DataFrame({"frame_id": [k], "channel": [0], "h": [page.shape[0]], "w": [page.shape[1]], "pixels": [page.astype(np.float32).ravel()], "number": [number[-1] if number else 0]})
+
+    return spark.read.format("binaryFile").load(files).select("path", "content").mapInPandas(work, f"{raw.SCHEMA}, number bigint")
+
+
+def read_folder(spark: SparkSession, path: str, decoder=None, n_baseline: int = 30) -> Recording:
+    """A recording's folder: its analog files, and its frame files, raw before TIFF before video."""
+    frames = raw.frame_files(path) or store.listed(path, "*.tif", "*.tiff") or store.listed(path, *raw.VIDEO)
+    if not frames:
+        raise FileNotFoundError(f"no frame files in {path}")
+    return read_recording(spark, frames, f"{path.rstrip('/')}/Analog*.dat", n_baseline, decoder)
+
+
+def write_recording(recording: Recording, path: str, chunk: int = 512, dtype: str = "uint16") -> None:
+    """The interleaved movie as raw files; its trials (trial, onset, stimulus) and the trials' mean frames as .npy arrays beside it."""
+    raw.write_raw(recording.frames, path, chunk, dtype=dtype)
+    trials = recording.trials.select("trial_id", F.array(*[F.col(c).cast("double") for c in ("trial_id", "onset_frame", "stim_frame")]).alias("row"))
+    raw.write_npy(trials, f"{path}/trial_onsets.npy", "trial_id", "row", (recording.trials.count(), 3), dtype="int64")
+    h, w = recording.frames.select("h", "w").first()
+    base = recording.baseline.select(F.struct("trial_id", "channel", "pixel_id").alias("at"), "f0")
+    n = recording.baseline.agg(F.count_distinct("trial_id"), F.count_distinct("channel")).first()
+    raw.write_npy(base, f"{path}/frames_average.npy", "at", "f0", (*n, h, w))

@@ -32,18 +32,17 @@ def ttl_edges_stream(samples: DataFrame, threshold: float, key: str = "channel")
     last two samples and the last median, so a batch joins on to the one before; samples of a key must come in order between batches."""
 
     def work(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        old = list(state.get) if state.exists else [0.0, None, -1, None]  # sample before last, last sample, its number, its predecessor's median
-        before, last, number, m_last = old
-        out = []
-        for r in pd.concat(list(batches)).sort_values("sample").itertuples():
-            if last is not None:
-                m = float(np.median([before, last, r.value]))
-                if m_last is not None and abs(m - m_last) > threshold:
-                    out.append((k[0], number, 1 if m > m_last else -1))
-                before, m_last = last, m
-            last, number = r.value, r.sample
-        state.update((before, last, number, m_last))
-        yield pd.DataFrame(out, columns=[key, "sample", "edge"])
+        before, last, number, m_last = state.get if state.exists else (0.0, None, -1, None)  # sample before last, last sample, its number, its predecessor's median
+        new = pd.concat(list(batches)).sort_values("sample")
+        value, at = new["value"].to_numpy(np.float64), new["sample"].to_numpy(np.int64)
+        seen = np.concatenate([[before] if last is None else [before, last], value])  # each sample but the newest has its median when the next arrives
+        numbers = at if last is None else np.concatenate([[number], at])
+        m = np.median(np.stack([seen[:-2], seen[1:-1], seen[2:]]), axis=0) if len(seen) > 2 else np.zeros(0)
+        step = np.diff(np.concatenate([[np.nan if m_last is None else m_last], m]))
+        edge = np.flatnonzero(np.abs(step) > threshold)  # the first median of all has none before it
+        if len(value):
+            state.update((float(seen[-2]), float(value[-1]), int(at[-1]), float(m[-1]) if len(m) else m_last))
+        yield pd.DataFrame({key: [k[0]] * len(edge), "sample": numbers[edge], "edge": np.where(step[edge] > 0, 1, -1)})
 
     return samples.select(key, "sample", "value").groupBy(key).applyInPandasWithState(work, f"{key} int, sample long, edge int", "before double, last double, number long, m_last double", "append", GroupStateTimeout.NoTimeout)
 
@@ -72,3 +71,9 @@ def job_states(events: DataFrame) -> DataFrame:
     latest = events.groupBy("job").agg(F.max_by("event", "at").alias("event"), F.max(F.struct(F.element_at(rank, F.col("event")).alias("r")))["r"].alias("r"))
     r = F.when(F.col("event") == "restart", F.coalesce(F.element_at(back, F.col("r")), F.col("r"))).otherwise(F.col("r"))
     return latest.select("job", F.element_at(names, r).alias("state"))
+
+
+def log_lines(spark: SparkSession, path: str, per_trigger: int = 100) -> DataFrame:
+    """``file, line`` of job logs as they arrive: each file that appears in a folder, line by line. What a job appends goes to a new file."""
+    rows = spark.readStream.schema("value string").option("maxFilesPerTrigger", per_trigger).text(path)
+    return rows.select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("line"))

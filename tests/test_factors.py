@@ -64,7 +64,7 @@ def test_hemodynamic_correction_recovers_the_coefficient(spark):
     rows = [(2 * f + c, f, c, (sig[:, f] + 0.7 * ref[:, f] if c == 0 else ref[:, f]).tolist()) for f in range(400) for c in (0, 1)]
     temporal = spark.createDataFrame(rows, "t long, frame_id long, channel int, v array<double>")
     spatial = spark.createDataFrame([(p, 0, p, u[p].tolist()) for p in range(30)], "pixel_id int, y int, x int, u array<double>")
-    done = factor.hemodynamic_correction(spatial, temporal, 3, filters=False)
+    done = factor.hemodynamic_correction(spatial, temporal, filters=False)
     r = np.array([x["r"] for x in done.coefficients.orderBy("pixel_id").collect()])
     assert abs(np.median(r) - 0.7) < 0.05
     got = done.temporal.toPandas().pivot(index="component", columns="t", values="value").to_numpy()
@@ -150,4 +150,4 @@ def test_locanmf_keeps_components_at_home(spark):
 def test_roi_timecourse_is_linear(spark):
     sp = spark.createDataFrame([(0, 0, 0, [1.0, 0.0]), (1, 0, 1, [3.0, 2.0])], "pixel_id int, y int, x int, u array<double>")
     te = spark.createDataFrame([(0, 0, 0, [1.0, 1.0])], "t long, frame_id long, channel int, v array<double>")
-    assert stats.roi_timecourse(sp, te, spark.createDataFrame([(0,), (1,)], "pixel_id int"), 2).first()["value"] == 3.0
+    assert stats.roi_timecourse(sp, te, spark.createDataFrame([(0,), (1,)], "pixel_id int")).first()["value"] == 3.0
