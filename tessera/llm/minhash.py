@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, cut, table
+from tessera.llm.common import components, cut, free_name, table
 
 #: Clusters of at most this many documents are joined whole; larger ones are dealt out in pieces of so many documents and shingles, which meet two
 #: by two. Columns of shared shingles are multiplied so many at a time.
@@ -244,9 +244,10 @@ def drop_near(docs: DataFrame, how: Similarity = Similarity()) -> DataFrame:
     named = docs.filter("doc_id is not null")
     if named.groupBy("doc_id").count().filter("count > 1").isEmpty():
         return without_copies(docs, docs, "doc_id", how)
-    rows = cut(named.orderBy("doc_id", F.xxhash64("text")).withColumn("_row", F.monotonically_increasing_id()))
-    left = without_copies(rows, rows.select(F.col("_row").alias("doc_id"), "text"), "_row", how)
-    return left.drop("_row").unionByName(docs.filter("doc_id is null"))
+    row = free_name(docs, "_row")
+    rows = cut(named.orderBy("doc_id", F.xxhash64("text")).withColumn(row, F.monotonically_increasing_id()))
+    left = without_copies(rows, rows.select(F.col(row).alias("doc_id"), "text"), row, how)
+    return left.drop(row).unionByName(docs.filter("doc_id is null"))
 
 
 def without_copies(rows: DataFrame, docs: DataFrame, key: str, how: Similarity) -> DataFrame:
