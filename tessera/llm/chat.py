@@ -62,14 +62,34 @@ def format_preferences(turns: DataFrame, chosen: Column, pair: Column) -> DataFr
     )
 
 
+def swapped_answers(turns: DataFrame) -> DataFrame:
+    """The two sides of a pair for each conversation: ``pair_id, side, conv_id, turn, role, text``.
+
+    Chosen is the conversation itself. Rejected is the same conversation up to its last answer (the assistant's turn of the greatest number),
+    with the answer that its neighbour (2k and 2k + 1 are neighbours) ends on in that place, and the neighbour's conv_id. A conversation without
+    an answer is rejected unchanged; where the neighbour has none, the answer is left out. Of several answers of one turn number the greatest text counts."""
+    turns = turns.filter(F.col("conv_id").isNotNull()).select(F.col("conv_id").cast("long"), "turn", "role", "text")
+    neighbour = F.col("conv_id").bitwiseXOR(F.lit(1).cast("long"))
+    last = turns.filter((F.col("role") == "assistant") & F.col("turn").isNotNull()).groupBy("conv_id").agg(F.max(F.struct("turn", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))).alias("last"))
+    end, other = last.select("conv_id", F.col("last.turn").alias("end")), last.select(neighbour.alias("conv_id"), F.col("last.text").alias("text"))
+    row = lambda side, conv, turn, role: [F.col("conv_id").alias("pair_id"), F.lit(side).alias("side"), conv.alias("conv_id"), turn.alias("turn"), role.alias("role"), "text"]
+    chosen = turns.select(*row(True, F.col("conv_id"), F.col("turn"), F.col("role")))
+    before = turns.join(end, "conv_id", "left").filter("end is null or turn is null or turn < end").select(*row(False, neighbour, F.col("turn"), F.col("role")))
+    answer = end.join(other, "conv_id").select(*row(False, neighbour, F.col("end"), F.lit("assistant")))
+    return chosen.unionByName(before).unionByName(answer)
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations: 2k (chosen) is paired with 2k + 1 (rejected)."""
-    return format_preferences(table(spark, sf_dir, "conversations"), F.pmod("conv_id", F.lit(2)) == 0, F.floor(F.col("conv_id") / 2))
+    """All conversations, each against itself with another's last answer: their turns before it are the prompt."""
+    return format_preferences(swapped_answers(table(spark, sf_dir, "conversations")), F.col("side"), F.col("pair_id"))
 
 
 OP6_SQL = r"""
-WITH t AS (SELECT CAST(floor(conv_id / 2) AS BIGINT) AS pair_id, conv_id % 2 = 0 AS side, conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
-           FROM conversations WHERE conv_id IS NOT NULL),
+WITH a AS (SELECT conv_id, e, max(coalesce(text, '')) AS text FROM conversations JOIN (SELECT conv_id, max(turn) AS e FROM conversations WHERE role = 'assistant' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY 1) USING (conv_id)
+           WHERE role = 'assistant' AND turn = e GROUP BY 1, 2),
+t AS (SELECT conv_id AS pair_id, true AS side, conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+      UNION ALL SELECT c.conv_id, false, xor(c.conv_id, 1), turn, coalesce(role, ''), coalesce(c.text, '') FROM conversations c LEFT JOIN a USING (conv_id) WHERE c.conv_id IS NOT NULL AND (e IS NULL OR turn IS NULL OR turn < e)
+      UNION ALL SELECT a.conv_id, false, o.conv_id, a.e, 'assistant', o.text FROM a JOIN a o ON o.conv_id = xor(a.conv_id, 1)),
 o AS (SELECT *, row_number() OVER (PARTITION BY pair_id, side ORDER BY turn NULLS FIRST, role, text) AS k,
              '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS shown FROM t),
 parting AS (SELECT coalesce(c.pair_id, r.pair_id) AS pair_id, min(CASE WHEN c.k IS NULL OR r.k IS NULL OR c.role <> r.role OR c.text <> r.text THEN coalesce(c.k, r.k) END) AS k,
