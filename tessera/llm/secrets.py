@@ -11,22 +11,25 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import sample_by_hash, table
+from tessera.llm.common import free_name, sample_by_hash, table
 
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # the same spans as runs of any length of which those under 32 are dropped
 KINDS = ("assign", "access", "hex", "markov")
-#: Tokens the models judge: a run of key characters with a letter and a digit; under MIN_TOKEN characters a ratio says little.
-MIN_TOKEN = 20
-TOKEN = re.compile(rf"[A-Za-z0-9+/_=-]{{{MIN_TOKEN},}}")
-ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_=-"
+#: Tokens the models judge: runs of key characters, of letters alone too; a run of digits alone is a number. Of fewer characters no ratio would do.
+MIN_TOKEN = 12
+ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_=-"  # digits first
 CODE = {c: k for k, c in enumerate(ALPHABET)}
 SIZE = len(ALPHABET) + 1  # and a mark for a token's start
 #: The bounds of the fit: documents that give identifiers and labelled secrets, and drawn random strings of each alphabet.
 TRAIN_DOCS, DRAWN = 2000, 4000
-#: Mean log-likelihood ratio a character (nats) from which a token counts as random.
-RATIO = 0.9
+#: Log-likelihood ratio (nats) from which a token counts as random: a mean for each character, and a sum that outweighs the odds of some ten
+#: million ordinary tokens to one secret.
+RATIO, EVIDENCE = 0.9, 16.0
+#: Each code point's number in ALPHABET, others -1; and whether it is a digit.
+CODES = np.full(129, -1, np.int64)
+CODES[[ord(c) for c in ALPHABET]] = np.arange(len(ALPHABET))
 
 
 def pairs_in(tokens: list[str]) -> np.ndarray:
@@ -51,9 +54,9 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def drawn_strings(n: int, seed: int) -> list[str]:
-    """Random strings as keys have them: base 64, base 62, upper case with digits, hexadecimal."""
+    """Random strings as keys have them: base 64, base 62, upper case with digits, hexadecimal, letters."""
     rng = np.random.default_rng(seed)
-    sets = [ALPHABET[:62] + "+/", ALPHABET[:62], ALPHABET[:62] + "_-", ALPHABET[:36], "0123456789abcdef"]
+    sets = [ALPHABET[:62] + "+/", ALPHABET[:62], ALPHABET[:62] + "_-", ALPHABET[:36], "0123456789abcdef", ALPHABET[10:62]]
     return ["".join(np.array(list(s))[rng.integers(0, len(s), 32)]) for s in sets for _ in range(n // len(sets))]
 
 
@@ -92,21 +95,27 @@ def log_rows(counts: np.ndarray, weight: float = 4.0) -> np.ndarray:
     return np.log((c + weight * single) / (c.sum(1, keepdims=True) + weight))
 
 
-def ratio(token: str, model: np.ndarray) -> float:
-    c = np.fromiter(map(CODE.__getitem__, token), np.int64, len(token))
-    return float(model[np.concatenate([[SIZE - 1], c[:-1]]), c].mean())
+def random_runs(text: str, model: np.ndarray) -> list[tuple[int, int]]:
+    """The runs of key characters that the models take for random strings: all of a text's are judged at once."""
+    code = CODES[np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4"), 128)]
+    edges = np.flatnonzero(np.diff(code >= 0, prepend=False, append=False))
+    start, end = edges[::2], edges[1::2]
+    long = end - start >= MIN_TOKEN
+    if not long.any():
+        return []
+    before = np.concatenate([[-1], code[:-1]])
+    upto = np.append(0.0, np.cumsum(model[np.where(before < 0, SIZE - 1, before), np.maximum(code, 0)]))  # what stands between runs cancels out
+    letters = np.append(0, np.cumsum(code >= 10))
+    start, end = start[long], end[long]
+    total = upto[end] - upto[start]
+    found = (total >= EVIDENCE) & (total >= RATIO * (end - start)) & (letters[end] > letters[start])
+    return list(zip(start[found].tolist(), end[found].tolist(), strict=True))
 
 
 def all_spans(text: str, model: np.ndarray) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """The base spans, and those with the models' spans added. Base spans stay; a token that touches one adds none."""
     base = base_spans(text)
-    added = []
-    for m in TOKEN.finditer(text):
-        t = m[0]
-        if any(s < m.end() and m.start() < e for s, _, e in base) or t.isdigit() or t.isalpha() or not any(map(str.isdigit, t)) or not any(map(str.isalpha, t)):
-            continue
-        if ratio(t, model) >= RATIO:
-            added.append((m.start(), 3, m.end()))
+    added = [(a, 3, b) for a, b in random_runs(text, model) if not any(s < b and a < e for s, _, e in base)]
     return base, sorted(base + added)
 
 
@@ -153,9 +162,10 @@ def redact_secrets(docs: DataFrame, model: np.ndarray, mark: str = "<secret>") -
             out.append(text)
         return pd.Series(out, dtype=object)
 
-    done = docs.withColumn("_clean", clean(F.col("text").cast("string")))
-    n = F.when(F.col("_clean").eqNullSafe(F.col("text")), F.col("n_chars")).otherwise(F.length("_clean").cast("long")) if "n_chars" in docs.columns else None
-    return done.select(*[F.col("_clean").alias(c) if c == "text" else n.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+    new = free_name(docs, "_clean")
+    done = docs.withColumn(new, clean(F.col("text").cast("string")))
+    n = F.when(F.col(new).eqNullSafe(F.col("text")), F.col("n_chars")).otherwise(F.length(new).cast("long")) if "n_chars" in docs.columns else None
+    return done.select(*[F.col(new).alias(c) if c == "text" else n.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
