@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,7 +18,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import table
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+OPEN = re.compile(r"<(?:(!--)|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+STOP = re.compile(r"[>\"']")
 #: Contents of these are no markup and no text; they end at their own end tag.
 RAW = frozenset("script style noscript template textarea title iframe svg math object canvas audio video select".split())
 #: Elements that start and end a line.
@@ -37,12 +39,47 @@ NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"
 CLOSES_P = BLOCK - frozenset("body head html td th tr caption tbody thead tfoot option legend".split())
 
 
+class Tags:
+    """The tags of a page one after the other, in time linear in the page however broken it is."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.last, self.plain = page, {c: page.rfind(c) for c in ">\"'"}, False
+
+    def end(self, at: int) -> int:
+        """Past the first > from ``at`` on that stands in no quotes; a quote that is not closed is a character like others. Once no such > is left,
+        tags end at their first >."""
+        k = at
+        while not self.plain:
+            m = STOP.search(self.page, k)
+            if m is None:
+                self.plain = True
+            elif m[0] == ">":
+                return m.end()
+            else:
+                k = m.end() if m.start() >= self.last[m[0]] else self.page.find(m[0], m.end()) + 1
+        return self.page.find(">", at) + 1
+
+    def next(self, at: int) -> tuple[int, int, str | None, bool, str] | None:
+        """(start, end, name or None for what is no element, closing, attributes) of the first tag from ``at`` on."""
+        m = OPEN.search(self.page, at)
+        if m is None or (not m[1] and m.end() > self.last[">"]):
+            return None
+        if m[1]:
+            stop = self.page.find("-->", m.end())
+            return m.start(), stop + 3 if stop >= 0 else len(self.page), None, False, ""
+        if m[3] is None:
+            return m.start(), self.page.find(">", m.end()) + 1, None, False, ""
+        stop = self.end(m.end())
+        return m.start(), stop, m[3].lower(), bool(m[2]), self.page[m.end() : stop - 1]
+
+
 def lines_of(page: str) -> list[tuple[str, bool, bool, bool]]:
     """The page's lines in order: text with references decoded and white space made one space, and whether it stands in a part set apart, in
     an article, and in a main part."""
     out: list[tuple[str, bool, bool, bool]] = []
     text: list[str] = []
     stack: list[tuple[str, bool]] = []  # open elements, and whether they or one around them are set apart
+    opened: Counter[str] = Counter()  # how many of the open elements have a name
     apart = False
 
     def flush() -> None:
@@ -50,21 +87,25 @@ def lines_of(page: str) -> list[tuple[str, bool, bool, bool]]:
             line = " ".join(html.unescape("".join(text)).split())
             text.clear()
             if line:
-                out.append((line, apart, any(x == "article" for x, _ in stack), any(x == "main" for x, _ in stack)))
+                out.append((line, apart, opened["article"] > 0, opened["main"] > 0))
+
+    def close(k: int) -> None:
+        opened.subtract(x for x, _ in stack[k:])
+        del stack[k:]
 
+    tags = Tags(page)
     at, end = 0, len(page)
     while at < end:
-        m = TAG.search(page, at)
-        if m is None:
+        tag = tags.next(at)
+        if tag is None:
             text.append(page[at:])
             break
-        text.append(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+        text.append(page[at : tag[0]])
+        _, at, name, closing, attributes = tag
+        if name is None:
             continue
-        name, closing = m[2].lower(), bool(m[1])
         if name in RAW:
-            if not closing and not m[3].endswith("/"):
+            if not closing and not attributes.endswith("/"):
                 stop = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(page, at)
                 at = stop.end() if stop else end
             continue
@@ -75,29 +116,30 @@ def lines_of(page: str) -> list[tuple[str, bool, bool, bool]]:
                 text.append(" ")
             continue
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1 if opened[name] > 0 else -1, -1, -1):
                 if stack[k][0] == name:
                     flush()
-                    del stack[k:]
+                    close(k)
                     break
         else:
             if name in CLOSES_P or name == "li":
                 for k in range(len(stack) - 1, -1, -1):  # a paragraph or list item that is still open ends here
                     if stack[k][0] in ("p", "li") and (stack[k][0] == "p" or name == "li"):
-                        del stack[k:]
+                        close(k)
                         break
                     if stack[k][0] in BLOCK:
                         break
             inside = stack[-1][1] if stack else False
-            names = " ".join(next(filter(None, x), "") for x in NAMES.findall(m[3])) if m[3] else ""
+            names = " ".join(next(filter(None, x), "") for x in NAMES.findall(attributes)) if attributes else ""
             names = HUMP.sub("-", names)
-            header = (name == "header" or bool(HEADER_NAMES.search(names))) and not any(x in ("article", "main") for x, _ in stack)
+            header = (name == "header" or bool(HEADER_NAMES.search(names))) and not (opened["article"] > 0 or opened["main"] > 0)
             named = COMMENT_NAMES if name in ("article", "main") else APART_NAMES
             now = inside or name in APART or (name not in ("html", "body") and (header or bool(named.search(names))))
             if now != inside:
                 flush()
-            if not m[3].endswith("/"):
+            if not attributes.endswith("/"):
                 stack.append((name, now))
+                opened[name] += 1
         apart = stack[-1][1] if stack else False
     flush()
     return out
