@@ -24,6 +24,8 @@ CODE = {c: k for k, c in enumerate(ALPHABET)}
 SIZE = len(ALPHABET) + 1  # and a mark for a token's start
 #: The bounds of the fit: documents that give identifiers and labelled secrets, and drawn random strings of each alphabet.
 TRAIN_DOCS, DRAWN = 2000, 4000
+#: Weight of ordinary strings in capitals, few of which a sample may hold.
+CAPITALS = 0.1
 #: Log-likelihood ratio (nats) from which a token counts as random: a mean for each character, and a sum that outweighs the odds of some ten
 #: million ordinary tokens to one secret.
 RATIO, EVIDENCE = 0.9, 16.0
@@ -64,7 +66,7 @@ def fit_markov(docs: DataFrame, n_docs: int = TRAIN_DOCS, drawn: int = DRAWN, se
     """The log-likelihood ratio of each pair of characters, random over ordinary.
 
     Labelled samples: strings that the fixed patterns mark, and ``drawn`` seeded random ones, are random; every other run of key characters
-    of the ``n_docs`` documents with the smallest hash of their id is ordinary. Two tables of pair counts are all that reaches the driver."""
+    of the ``n_docs`` documents with the smallest hash of their id is ordinary, as it stands and in capitals. Two tables of pair counts are all that reaches the driver."""
     ids = F.broadcast(sample_by_hash(docs.filter(F.col("doc_id").isNotNull()).select("doc_id").distinct(), "doc_id", n_docs, seed))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -85,7 +87,16 @@ def fit_markov(docs: DataFrame, n_docs: int = TRAIN_DOCS, drawn: int = DRAWN, se
     for r in counts.groupBy("at").agg(F.sum("secret").alias("s"), F.sum("plain").alias("p")).toLocalIterator():
         secret[r["at"]] += r["s"]
         plain[r["at"]] += r["p"]
-    return log_rows(secret) - log_rows(plain)
+    return log_rows(secret) - log_rows(plain + CAPITALS * in_capitals(plain))
+
+
+def in_capitals(counts: np.ndarray) -> np.ndarray:
+    """Counts of the same pairs with their letters in upper case: what shouting and constants do to ordinary words."""
+    code = np.arange(SIZE)
+    code[36:62] -= 26
+    out = np.zeros((SIZE, SIZE))
+    np.add.at(out, (code[:, None], code[None, :]), counts.reshape(SIZE, SIZE))
+    return out.ravel()
 
 
 def log_rows(counts: np.ndarray, weight: float = 4.0) -> np.ndarray:
@@ -105,7 +116,7 @@ def random_runs(text: str, model: np.ndarray) -> list[tuple[int, int]]:
         return []
     before = np.concatenate([[-1], code[:-1]])
     upto = np.append(0.0, np.cumsum(model[np.where(before < 0, SIZE - 1, before), np.maximum(code, 0)]))  # what stands between runs cancels out
-    letters = np.append(0, np.cumsum(code >= 10))
+    letters = np.append(0, np.cumsum((code >= 10) & (code < 62)))
     start, end = start[long], end[long]
     total = upto[end] - upto[start]
     found = (total >= EVIDENCE) & (total >= RATIO * (end - start)) & (letters[end] > letters[start])
