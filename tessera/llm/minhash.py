@@ -175,11 +175,19 @@ def linked_in_pieces(large: DataFrame, sets: DataFrame, percent: int) -> DataFra
     """``a, b``: pairs that join what the links within large clusters join, decided on whole sets.
 
     A cluster is dealt out in pieces, each of which meets every other once, in a group of its own; a product of 0/1 rows over the shingles that
-    the group shares counts intersections. A group gives a spanning forest of its links, never the pairs."""
-    dealt = large.select("pivot", "rep").join(sets.select(F.col("doc").alias("rep"), "set"), "rep")
-    n = large.select("pivot", "rep").join(sets.select(F.col("doc").alias("rep"), F.size("set").alias("n")), "rep").groupBy("pivot").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / PIECE)).cast("int").alias("pieces"))
-    dealt = dealt.join(n, "pivot").withColumn("own", F.pmod(F.xxhash64("rep", "pivot"), F.col("pieces")).cast("int"))
-    meets = F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda q: F.struct(F.least(q, F.col("own")).alias("p"), F.greatest(q, F.col("own")).alias("q")))
+    the group shares counts intersections. A group gives a spanning forest of its links, never the pairs. A cluster of several pieces is
+    first compared with its pivot alone: documents that link with it are in one class already, so their pieces meet only the rest's."""
+    whole = sets.select(F.col("doc").alias("rep"), "set")
+    members = cut(large.select("pivot", "rep").join(whole.select("rep", F.size("set").alias("n")), "rep"))
+    pieces_of = lambda which: F.greatest(F.ceil(F.count(F.when(which, 1)) / BLOCK), F.ceil(F.coalesce(F.sum(F.when(which, F.col("n"))), F.lit(0)) / PIECE)).cast("int")
+    several = members.groupBy("pivot").agg(pieces_of(F.lit(True)).alias("pieces")).filter("pieces > 1")
+    star = cut(linked_to_pivot(members.join(several, "pivot", "left_semi"), whole, percent))
+    members = members.join(star.withColumn("linked", F.lit(True)), ["pivot", "rep"], "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
+    n = members.groupBy("pivot").agg(pieces_of(~F.col("linked")).alias("rest"), pieces_of(F.col("linked")).alias("near")).filter("rest > 0")
+    piece = lambda k: F.pmod(F.xxhash64("rep", "pivot"), F.greatest(F.col(k), F.lit(1))).cast("int")
+    dealt = members.join(n, "pivot").withColumn("own", F.when(F.col("linked"), F.col("rest") + piece("near")).otherwise(piece("rest"))).join(whole, "rep")
+    last = F.when(F.col("linked"), F.col("rest")).otherwise(F.col("rest") + F.col("near")) - 1
+    meets = F.transform(F.sequence(F.lit(0), last), lambda q: F.struct(F.least(q, F.col("own")).alias("p"), F.greatest(q, F.col("own")).alias("q")))
     dealt = dealt.withColumn("m", F.explode(meets)).select("pivot", "m.p", "m.q", "own", "rep", "set")
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -203,7 +211,16 @@ def linked_in_pieces(large: DataFrame, sets: DataFrame, percent: int) -> DataFra
         a, b = forest(ids[i], ids[j])
         return pd.DataFrame({"a": a, "b": b}, dtype="int64")
 
-    return dealt.groupBy("pivot", "p", "q").applyInPandas(work, "a long, b long")
+    links = dealt.groupBy("pivot", "p", "q").applyInPandas(work, "a long, b long")
+    return links.unionByName(star.filter("pivot <> rep").select(F.col("pivot").alias("a"), F.col("rep").alias("b")))
+
+
+def linked_to_pivot(members: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+    """``pivot, rep`` of the members (pivot, rep) whose whole set links with their pivot's, the pivot itself among them."""
+    pivots = members.select("pivot").distinct().join(whole.select(F.col("rep").alias("pivot"), F.col("set").alias("of_pivot")), "pivot")
+    both = members.join(whole, "rep").join(pivots, "pivot")
+    i = F.size(F.array_intersect("set", "of_pivot"))
+    return both.filter(100 * i >= percent * (F.size("set") + F.size("of_pivot") - i)).select("pivot", "rep")
 
 
 def link_classes(docs: DataFrame, known: DataFrame, how: Similarity) -> DataFrame:

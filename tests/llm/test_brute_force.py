@@ -13,7 +13,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, common, decontaminate, html_text, quality, registry, secrets, sharding, toxicity
+from tessera.llm import chat, common, decontaminate, html_text, minhash, quality, registry, secrets, sharding, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -51,6 +51,24 @@ def test_minhash_on_the_table(spark):
     assert got == {i: (len(sets[i]), want[i], want[i] == i) for i in ids}
 
 
+def test_minhash_of_a_large_cluster_in_pieces(spark, monkeypatch):
+    """A cluster of several pieces: copies that link with the pivot, with each other only, and with nothing."""
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    r = np.random.default_rng(31)
+    base = [f"w{x}" for x in r.integers(0, 10**6, 200)]
+    texts = []
+    for k in range(70):
+        w = list(base)
+        for p in r.integers(0, 200, r.integers(0, 9)):
+            w[p] = f"u{r.integers(0, 10**6)}"
+        texts.append((1000 + k, " ".join(w)))
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(196)} for i, t in texts}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    want = smallest(sets, links)
+    got = {x["doc_id"]: x["component_id"] for x in minhash.near_documents(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == want and len(set(want.values())) > 3 and len(links) > 100
+
+
 def test_components_of_long_paths(spark):
     n = 700
     links = [(k, k + 1) for k in range(n)] + [(2000 + k, 2000 + (k * 7 + 1) % 300) for k in range(300)]
@@ -108,10 +126,11 @@ def test_toxicity_by_walking_each_tree(spark):
 
 
 def test_secrets_by_the_patterns_as_given(spark):
-    got = {r["doc_id"]: r for r in registry.QUERIES["op8_secrets"](spark, SF).collect()}
+    folder = "/root/testdata/sf0.01"  # the smaller table holds none
+    got = {r["doc_id"]: r for r in registry.QUERIES["op8_secrets"](spark, folder).collect()}
     kinds = [("assign", r"([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 8), ("access", "AKIA[A-Z0-9]+", 0, 16), ("hex", "[0-9a-f]+", 0, 32)]
     some = 0
-    for i, t in rows(spark, "documents", "doc_id", "text"):
+    for i, t in map(tuple, spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()):
         spans = sorted((m.start(), k, m.end()) for k, (_, p, g, n) in enumerate(kinds) for m in re.finditer(p, t or "") if len(m[g]) >= n)
         some += len(spans)
         assert [got[i][f"n_{x}"] for x in ("assign", "access", "hex")] == [sum(k == x for _, k, _ in spans) for x in range(3)]
@@ -247,8 +266,6 @@ def test_pairs_of_a_conversation_and_another_answer(spark):
 
 
 def test_very_long_texts(spark):
-    from tessera.llm import minhash
-
     r = np.random.default_rng(1)
     w = [f"w{x}" for x in r.integers(0, 10**6, 120_000)]
     d = spark.createDataFrame(pd.DataFrame({"doc_id": [1, 2, 3], "text": [" ".join(w), " ".join(w[:-50]), " ".join(w[::-1])]}))
