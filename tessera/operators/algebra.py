@@ -1,18 +1,16 @@
-"""Products of array columns at any rank: sums over rows in one pass, and maps of each row, as matrix products of Arrow batches."""
+"""Products of array columns at any rank, summed over rows in one pass as matrix products of Arrow batches."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def stacked(arrays: pd.Series) -> np.ndarray:
-    return np.stack(arrays.to_list()).astype(np.float64)
+from tessera.functions.arrays import stacked
 
 
 @dataclass(frozen=True)
@@ -70,22 +68,6 @@ def comoments(rows: DataFrame, a: str, b: str) -> Comoments:
     return Comoments(int(got[0]["n"]), np.array([r["ma"] for r in got]), np.array(got[0]["mb"]), np.array([r["c"] for r in got]))
 
 
-def mapped(column: str | Column, f: Callable[[np.ndarray], np.ndarray], kind: str = "double") -> Column:
-    """``f`` of the rows x rank matrix of an array column, a batch at a time: a number for each row, or an array with ``kind`` array<double>."""
-
-    @F.pandas_udf(kind)
-    def work(arrays: pd.Series) -> pd.Series:
-        out = f(stacked(arrays)) if len(arrays) else np.zeros(0)
-        return pd.Series(list(out) if out.ndim > 1 else out)
-
-    return work(column)
-
-
-def quadratic(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """x^T C x of each row."""
-    return ((x @ c) * x).sum(1)
-
-
 def mean_array(rows: DataFrame, column: str) -> DataFrame:
     """One row, ``mu``: the mean array of a column."""
     each = rows.select(F.posexplode(column).alias("k", "v")).groupBy("k").agg(F.avg("v").alias("v"))

@@ -11,8 +11,9 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.arrays import mapped, stacked
 from tessera.operators import events, signals, stats
-from tessera.operators.algebra import comoments, mapped, stacked
+from tessera.operators.algebra import comoments
 from tessera.operators.frames import EPS, as_of, bin_size
 
 

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.arrays import unit
 from tessera.operators import events
 
 IDENTITY = (1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0)
@@ -150,16 +151,14 @@ def projection_extent(height: int, width: int, reference: tuple[float, float], r
 def phase_hsv(maps: DataFrame, value_p: float = 0.98, saturation_p: float = 0.90) -> DataFrame:
     """``pixel_id, h, s, v`` of (pixel_id, mag, phase): phase / 2 pi, mag^0.3 and mag over their percentiles, in 0..1."""
     p = maps.agg(F.percentile("mag", F.lit(value_p)).alias("pv"), F.percentile(F.col("mag") ** 0.3, F.lit(saturation_p)).alias("ps"))
-    held = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
-    return maps.crossJoin(F.broadcast(p)).select("pixel_id", held(F.col("phase") / (2 * math.pi)).alias("h"), held(F.col("mag") ** 0.3 / F.col("ps")).alias("s"), held(F.col("mag") / F.col("pv")).alias("v"))  # one row
+    return maps.crossJoin(F.broadcast(p)).select("pixel_id", unit(F.col("phase") / (2 * math.pi)).alias("h"), unit(F.col("mag") ** 0.3 / F.col("ps")).alias("s"), unit(F.col("mag") / F.col("pv")).alias("v"))  # one row
 
 
 def argmax_hsv(maps: DataFrame, n_frames: int, value_p: float = 0.98, saturation_p: float = 0.90) -> DataFrame:
     """``pixel_id, h, s, v`` of (pixel_id, frame_id, peak, mean): the frame of the greatest value over the number of frames, the peak over the mean,
     and the peak, over their percentiles, in 0..1."""
     p = maps.agg(F.percentile("peak", F.lit(value_p)).alias("pv"), F.percentile(F.col("peak") - F.col("mean"), F.lit(saturation_p)).alias("ps"))
-    held = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
-    return maps.crossJoin(F.broadcast(p)).select("pixel_id", held(F.col("frame_id") / n_frames).alias("h"), held((F.col("peak") - F.col("mean")) / F.col("ps")).alias("s"), held(F.col("peak") / F.col("pv")).alias("v"))  # one row
+    return maps.crossJoin(F.broadcast(p)).select("pixel_id", unit(F.col("frame_id") / n_frames).alias("h"), unit((F.col("peak") - F.col("mean")) / F.col("ps")).alias("s"), unit(F.col("peak") / F.col("pv")).alias("v"))  # one row
 
 
 def projection(name: str = "std") -> Callable[[Column], Column]:
@@ -173,8 +172,7 @@ def combined_hsv(stacks: DataFrame, project: Callable[[Column], Column] = F.stdd
     each = stacks.groupBy("stack", "pixel_id").agg(project(F.col("value")).alias("value"))
     m = events.dft_bin(each, 1, ("pixel_id",), at="stack")
     p = m.agg(F.percentile("mag", F.lit(value_p)).alias("pv"), F.percentile("mag", F.lit(saturation_p)).alias("ps"))
-    held = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
-    return m.crossJoin(F.broadcast(p)).select("pixel_id", held(F.col("phase") / (2 * math.pi)).alias("h"), held(F.col("mag") / F.col("ps")).alias("s"), held(F.col("mag") / F.col("pv")).alias("v"))  # one row
+    return m.crossJoin(F.broadcast(p)).select("pixel_id", unit(F.col("phase") / (2 * math.pi)).alias("h"), unit(F.col("mag") / F.col("ps")).alias("s"), unit(F.col("mag") / F.col("pv")).alias("v"))  # one row
 
 
 def hsv_rgb(hsv: DataFrame) -> DataFrame:

@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.algebra import comoments, mapped
+from tessera.functions.arrays import mapped
+from tessera.operators.algebra import comoments
 
 
 def hals(u: np.ndarray, v: np.ndarray, areas: list[np.ndarray], ranks: list[int], penalty: np.ndarray, steps: int, nonnegative: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -11,8 +11,9 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.arrays import stacked
 from tessera.operators import factor, geometry, registration, stats
-from tessera.operators.algebra import comoments, stacked
+from tessera.operators.algebra import comoments
 from tessera.operators.frames import reset_border
 from tessera.sources import raw
 

@@ -9,11 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.algebra import comoments, mapped, mean_array, quadratic, stacked
-
-
-def dot(a: str, b: str):
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0).cast("double"), lambda s, x: s + x)
+from tessera.functions.arrays import dot, mapped, quadratic, stacked
+from tessera.operators.algebra import comoments, mean_array
 
 
 def components_long(temporal: DataFrame) -> DataFrame:
