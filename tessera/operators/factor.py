@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.arrays import mapped, stacked
@@ -186,6 +186,29 @@ def blockwise_svd(rel: DataFrame, height: int, width: int, k: int = 200, block_k
     return events.assemble_blocks(per_block), temporal.select("t", "component", "value"), s
 
 
+def noise_roughness(spark: SparkSession, height: int, width: int, length: int, blocks: int = 100, components: int = 1, seed: int = 0) -> DataFrame:
+    """``block, component, spatial, temporal``: how rough the leading components of pure noise are, by the measures of ``stats.spatial_roughness`` and
+    ``stats.temporal_roughness``. Components of a movie that are as rough hold no signal: a percentile of these is the threshold."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for block in b["id"]:
+                e = np.random.default_rng([seed, int(block)]).standard_normal((height * width, length))
+                u, _, v = np.linalg.svd(e, full_matrices=False)
+                for k in range(min(components, u.shape[1])):
+                    im, series = u[:, k].reshape(height, width), v[k]
+                    steps = np.concatenate([np.abs(np.diff(im, axis=0)).ravel(), np.abs(np.diff(im, axis=1)).ravel()])
+                    bends = np.abs(series[:-2] + series[2:] - 2 * series[1:-1])
+                    yield pd.DataFrame({"block": [block], "component": [k], "spatial": [steps.mean() / np.abs(im).mean()], "temporal": [bends.mean() / np.abs(series).mean()]})
+
+    return spark.range(blocks).mapInPandas(work, "block long, component int, spatial double, temporal double")
+
+
+def noise_thresholds(roughness: DataFrame, confidence: float = 0.99) -> DataFrame:
+    """One row, ``spatial, temporal``: what all but the ``confidence`` of noise components exceed."""
+    return roughness.agg(*[F.percentile(c, F.lit(1 - confidence)).alias(c) for c in ("spatial", "temporal")])
+
+
 def correction_matrix(spatial: DataFrame, coefficients: DataFrame) -> np.ndarray:
     """T = pinv(U^T U) U^T diag(r) U from two rank x rank sums over pixels, made in one pass."""
     weight = F.coalesce(F.nanvl("r", F.lit(EPS)), F.lit(EPS))

@@ -154,3 +154,16 @@ def test_as_of_beside_columns_of_like_names(spark):
     got = frames.as_of(rows, marks, "at", "mark_at", ["_b"]).orderBy("at").collect()
     assert [tuple(r) for r in got] == [(1, "a", "b", 10), (5, "c", "d", 11)]
     assert frames.as_of(rows, marks, "at", "mark_at", ["_b"], strict=True).filter(F.col("_b") == 10).count() == 2
+
+
+def test_noise_is_rough(spark):
+    rows = factor.noise_roughness(spark, 6, 7, 40, blocks=20, components=2)
+    got = rows.orderBy("block", "component").toPandas()
+    e = np.random.default_rng([0, 3]).standard_normal((42, 40))
+    u, _, v = np.linalg.svd(e, full_matrices=False)
+    long = spark.createDataFrame([(0, y, x, float(u[y * 7 + x, 0])) for y in range(6) for x in range(7)], "component int, y int, x int, value double")
+    series = spark.createDataFrame([(0, t, float(v[0, t])) for t in range(40)], "component int, t int, value double")
+    one = got[(got["block"] == 3) & (got["component"] == 0)].iloc[0]
+    assert len(got) == 40 and abs(one["spatial"] - stats.spatial_roughness(long).first()["value"]) < 1e-9 and abs(one["temporal"] - stats.temporal_roughness(series).first()["value"]) < 1e-9
+    limit = factor.noise_thresholds(rows, 0.9).first()
+    assert (got["spatial"] > limit["spatial"]).mean() >= 0.85 and limit["temporal"] > 0

@@ -210,3 +210,12 @@ def test_streams_of_projections_sessions_and_lines(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(tuple(z) for z in spark.sql("select * from lines").collect()) == [("a.log", "one"), ("a.log", "two"), ("b.log", "three")]
+
+
+def test_settings_over_defaults(tmp_path):
+    from tessera.sources import config
+
+    (tmp_path / "c.json").write_text('{"k": 5, "at": {"host": "b"}}')
+    defaults = {"k": 1, "fs": 30, "at": {"host": "a", "port": 1}}
+    assert config.read_config(str(tmp_path / "c.json"), defaults) == {"k": 5, "fs": 30, "at": {"host": "b", "port": 1}}
+    assert config.read_config(str(tmp_path / "none.json"), defaults) == defaults
