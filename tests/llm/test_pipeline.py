@@ -73,3 +73,24 @@ def test_quality_without_both_labels_keeps_all(spark, tmp_path):
     for name, rows in (("held", [(i, i % 2, 0) for i in held]), ("zeros", [(i, 0, 0) for i in range(200)])):
         spark.createDataFrame(rows, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / name / "labels.parquet"))
         assert corpus_pipeline.quality(spark, d, str(tmp_path / name)).count() == 200
+
+
+def test_pipeline_with_nulls_and_further_columns(spark, tmp_path):
+    rows = [(i, words(i), "en", "s", 1, "c", 0.5, 1) for i in range(80)] + [(None, words(900), None, None, None, None, None, None), (500, None, None, None, None, "c", None, 2), (501, "", "en", "s", 0, None, 1.0, None)]
+    rows += [(7, words(7), "en", "s", 1, "again", 0.5, 1), (502, words(502, 30_000), "en", "s", 1, "long", 0.5, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _clean string, score double, label int")
+    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, i % 2, 0, None) for i in range(0)], "doc_id long, quality int, toxic int, text string").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, None, 5), (None, words(999, 20), 6)], "item_id long, text string, doc_id int").write.parquet(str(tmp_path / "benchmark.parquet"))
+    at = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, at, str(tmp_path))
+        if name != "tokens":
+            assert out.columns == docs.columns
+        out.write.parquet(str(tmp_path / f"out-{name}"))
+        at = spark.read.parquet(str(tmp_path / f"out-{name}"))
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in at.select("doc_id").collect())
+    assert got == sorted([(False, i) for i in [*range(80), 500, 501, 502]] + [(True, 0)])
+    assert {r["doc_id"]: r["n_tokens"] for r in at.filter("doc_id >= 500").collect()}[500] == 0
+    kept = spark.read.parquet(str(tmp_path / "out-secrets")).filter("doc_id = 502").first()
+    assert kept["_clean"] == "long" and kept["text"] == words(502, 30_000)
