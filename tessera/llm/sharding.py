@@ -14,15 +14,16 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import cut, table
 
-#: Slices of the fractional ranks. Like the 1024 slices of a source (the top bits of the hash), each is numbered by one task; only counts are summed up.
-RANK_SLICES = 4096
+#: A source is numbered by slices of its hash range, and the common order by slices of the fractional ranks; each slice is one task's, and only counts
+#: are summed up. There are so many slices at least, and one for so many rows of the table.
+HASH_BITS, RANK_SLICES, SLICE_ROWS = 10, 4096, 100_000
 
 
 def digest(docs: DataFrame, seed: int) -> DataFrame:
     """What the order needs of each row; texts stay where they are."""
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     rows = docs.select("doc_id", F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col("source").cast("string"))).alias("stratum"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text).alias("text_crc32"))
-    return rows.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "text_crc32", "size")).withColumn("slice", F.shiftrightunsigned("h", 54).cast("int"))
+    return rows.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "text_crc32", "size"))
 
 
 def interleave_shards(docs: DataFrame, n_shards: int = 8, seed: int = 20) -> DataFrame:
@@ -32,6 +33,9 @@ def interleave_shards(docs: DataFrame, n_shards: int = 8, seed: int = 20) -> Dat
     slot of their own; rows alike in all these columns are interchangeable; an empty table gives an empty result; further columns are
     ignored. No task holds a whole source: a slice of the hash range is numbered by itself and moved by the counts of the slices before it."""
     d = cut(digest(docs, seed))
+    n = d.count()
+    bits, slices = max(HASH_BITS, (n // SLICE_ROWS).bit_length()), max(RANK_SLICES, n // SLICE_ROWS)
+    d = d.withColumn("slice", F.shiftrightunsigned("h", 64 - bits).cast("int"))
     in_source = Window.partitionBy("stratum").orderBy("slice")
     counts = d.groupBy("stratum", "slice").agg(F.count("*").alias("n"))
     before = counts.select("stratum", "slice", (F.sum("n").over(in_source) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy("stratum")).alias("of"))
@@ -40,9 +44,9 @@ def interleave_shards(docs: DataFrame, n_shards: int = 8, seed: int = 20) -> Dat
     ranked = ranked.select("doc_id", "size", "text_crc32", "stratum", "h", (F.col("rn") + F.col("before")).alias("source_rank"), "of")
     offset = (F.pmod(F.xxhash64(F.lit(seed), "stratum"), F.lit(1 << 20)) + F.lit(0.5)) / F.lit(float(1 << 20))
     ranked = ranked.withColumn("fraction", (F.col("source_rank") - offset) / F.col("of"))
-    ranked = cut(ranked.withColumn("part", F.floor(F.col("fraction") * RANK_SLICES).cast("int")))
+    ranked = cut(ranked.withColumn("part", F.floor(F.col("fraction") * slices).cast("int")))
     parts = ranked.groupBy("part").agg(F.count("*").alias("n"))
-    everything = Window.orderBy("part")  # RANK_SLICES rows at most
+    everything = Window.orderBy("part")  # a row a slice
     start = parts.select("part", (F.sum("n").over(everything) - F.col("n")).alias("start"), F.sum("n").over(Window.partitionBy()).alias("total"))
     in_part = Window.partitionBy("part").orderBy("fraction", "stratum", "h", "doc_id", "text_crc32", "size")
     placed = ranked.withColumn("rn", F.row_number().over(in_part)).join(start, "part").withColumn("at", F.col("start") + F.col("rn") - 1)

@@ -225,7 +225,10 @@ def test_line_windows_drop_short_lines_far_from_text():
     assert html_text.main_text(f"<p>{html.escape('a < b & c, as long as a line of text is')}</p>") == "a < b & c, as long as a line of text is"
 
 
-def test_shards_by_one_sort(spark):
+@pytest.mark.parametrize("rows_a_slice", [100_000, 1])
+def test_shards_by_one_sort(spark, monkeypatch, rows_a_slice):
+    monkeypatch.setattr(sharding, "SLICE_ROWS", rows_a_slice)
+    monkeypatch.setattr(sharding, "RANK_SLICES", 7 if rows_a_slice == 1 else 4096)
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "source")
     docs = docs.unionByName(spark.createDataFrame([(1, None, None), (1, None, None), (None, "", "")], docs.schema))
     h = [tuple(r) for r in sharding.digest(docs, 20).select("doc_id", "stratum", "size", "text_crc32", "h").collect()]
