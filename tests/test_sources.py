@@ -1,5 +1,6 @@
 import os
 import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -219,3 +220,19 @@ def test_settings_over_defaults(tmp_path):
     defaults = {"k": 1, "fs": 30, "at": {"host": "a", "port": 1}}
     assert config.read_config(str(tmp_path / "c.json"), defaults) == {"k": 5, "fs": 30, "at": {"host": "b", "port": 1}}
     assert config.read_config(str(tmp_path / "none.json"), defaults) == defaults
+
+
+@pytest.mark.parametrize(("number", "pack"), [(1, bytes), (8, zlib.compress), (32773, lambda x: b"".join(bytes([0, b]) for b in x)), (32773, lambda x: bytes([128, len(x) - 1]) + x)])
+@pytest.mark.parametrize("differences", [False, True])
+def test_packed_tiff(number, pack, differences):
+    page = np.arange(12, dtype="<u2").reshape(3, 4) ** 3
+    stored = np.concatenate([page[:, :1], page[:, 1:] - page[:, :-1]], 1) if differences else page
+    data = pack(stored.astype("<u2").tobytes())
+    tags = [(256, 3, 1, 4), (257, 3, 1, 3), (258, 3, 1, 16), (259, 3, 1, number), (273, 4, 1, 8), (279, 4, 1, len(data)), (317, 3, 1, 2 if differences else 1)]
+    ifd = struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", *x) for x in tags) + struct.pack("<I", 0)
+    got = list(raw.tiff_pages(b"II*\0" + struct.pack("<I", 8 + len(data)) + data + ifd))
+    assert len(got) == 1 and np.array_equal(got[0], page)
+
+
+def test_packed_repeats():
+    assert raw.unpacked_bits(bytes([254, 7, 1, 1, 2])) == bytes([7, 7, 7, 1, 2])
