@@ -16,15 +16,20 @@ def frame_files(spark: SparkSession, path: str, schema: str, per_trigger: int =
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
 
 
+def timed(frames: DataFrame, at: str) -> DataFrame:
+    """``frames`` with ``at`` as a timestamp that a watermark can be put on: one without a zone is taken in the session's."""
+    return frames.withColumn(at, F.col(at).cast("timestamp"))
+
+
 def binned_stream(frames: DataFrame, at: str = "ts", bin_size: str = "1 minute", late: str = "1 minute", keys: tuple[str, ...] = ("channel", "pixel_id")) -> DataFrame:
     """Means of tumbling windows, closed by a watermark."""
     w = F.window(at, bin_size)
-    return frames.withWatermark(at, late).groupBy(w, *keys).agg(F.avg("value").alias("value"), F.count("*").alias("n"))
+    return timed(frames, at).withWatermark(at, late).groupBy(w, *keys).agg(F.avg("value").alias("value"), F.count("*").alias("n"))
 
 
 def trial_sessions(events: DataFrame, at: str = "ts", gap: str = "30 seconds", late: str = "1 minute", key: str = "user_id") -> DataFrame:
     """Trials as sessions of events without a gap."""
-    return events.withWatermark(at, late).groupBy(F.session_window(at, gap), key).agg(F.count("*").alias("n"))
+    return timed(events, at).withWatermark(at, late).groupBy(F.session_window(at, gap), key).agg(F.count("*").alias("n"))
 
 
 def ttl_edges_stream(samples: DataFrame, threshold: float, key: str = "channel") -> DataFrame:
@@ -47,19 +52,24 @@ def ttl_edges_stream(samples: DataFrame, threshold: float, key: str = "channel")
     return samples.select(key, "sample", "value").groupBy(key).applyInPandasWithState(work, f"{key} int, sample long, edge int", "before double, last double, number long, m_last double", "append", GroupStateTimeout.NoTimeout)
 
 
-def project_stream(frames: DataFrame, u: np.ndarray, f0: np.ndarray, out: str, checkpoint: str):
-    """Each batch of frames as dF/F projected on the components, appended as Parquet: the factor grows as frames arrive."""
+def projected_frames(frames: DataFrame, u: np.ndarray, f0: np.ndarray) -> DataFrame:
+    """``frame_id, channel, v``: frames, of a stream or a table, as dF/F on the components ``u`` (components x pixels); ``f0`` (channels x pixels)."""
     held = frames.sparkSession.sparkContext.broadcast((u, f0))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         w, m = held.value
         for b in batches:
-            x = np.stack(b["pixels"].to_list()).astype(np.float64)
-            base = m[b["channel"].to_numpy()]
-            yield pd.DataFrame({"frame_id": b["frame_id"], "channel": b["channel"], "v": list(((x - base) / (base + 1e-10)) @ w.T)})
+            if len(b):
+                x = np.stack(b["pixels"].to_list()).astype(np.float64)
+                base = m[b["channel"].to_numpy()]
+                yield pd.DataFrame({"frame_id": b["frame_id"], "channel": b["channel"], "v": list(((x - base) / (base + 1e-10)) @ w.T)})
 
-    rows = frames.select("frame_id", "channel", "pixels").mapInPandas(work, "frame_id long, channel int, v array<double>")
-    return rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").start()
+    return frames.select("frame_id", "channel", "pixels").mapInPandas(work, "frame_id long, channel int, v array<double>")
+
+
+def project_stream(frames: DataFrame, u: np.ndarray, f0: np.ndarray, out: str, checkpoint: str):
+    """Each batch of frames as dF/F projected on the components, appended as Parquet: the factor grows as frames arrive."""
+    return projected_frames(frames, u, f0).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").start()
 
 
 def job_states(events: DataFrame) -> DataFrame:
