@@ -181,7 +181,7 @@ def linked_in_pieces(large: DataFrame, sets: DataFrame, percent: int) -> DataFra
     members = cut(large.select("pivot", "rep").join(whole.select("rep", F.size("set").alias("n")), "rep"))
     pieces_of = lambda which: F.greatest(F.ceil(F.count(F.when(which, 1)) / BLOCK), F.ceil(F.coalesce(F.sum(F.when(which, F.col("n"))), F.lit(0)) / PIECE)).cast("int")
     several = members.groupBy("pivot").agg(pieces_of(F.lit(True)).alias("pieces")).filter("pieces > 1")
-    star = cut(linked_to_pivot(members.join(several, "pivot", "left_semi"), whole, percent))
+    star = cut(linked_to_pivot(members.join(several, "pivot"), several, whole, percent))
     members = members.join(star.withColumn("linked", F.lit(True)), ["pivot", "rep"], "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
     n = members.groupBy("pivot").agg(pieces_of(~F.col("linked")).alias("rest"), pieces_of(F.col("linked")).alias("near")).filter("rest > 0")
     piece = lambda k: F.pmod(F.xxhash64("rep", "pivot"), F.greatest(F.col(k), F.lit(1))).cast("int")
@@ -215,10 +215,11 @@ def linked_in_pieces(large: DataFrame, sets: DataFrame, percent: int) -> DataFra
     return links.unionByName(star.filter("pivot <> rep").select(F.col("pivot").alias("a"), F.col("rep").alias("b")))
 
 
-def linked_to_pivot(members: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
-    """``pivot, rep`` of the members (pivot, rep) whose whole set links with their pivot's, the pivot itself among them."""
-    pivots = members.select("pivot").distinct().join(whole.select(F.col("rep").alias("pivot"), F.col("set").alias("of_pivot")), "pivot")
-    both = members.join(whole, "rep").join(pivots, "pivot")
+def linked_to_pivot(members: DataFrame, several: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+    """``pivot, rep`` of the members (pivot, rep, pieces) whose whole set links with their pivot's, the pivot itself among them. The pivot's set goes
+    once to each piece of its cluster, so that no task gets a whole one."""
+    pivots = several.select("pivot", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece")).join(whole.select(F.col("rep").alias("pivot"), F.col("set").alias("of_pivot")), "pivot")
+    both = members.withColumn("piece", F.pmod(F.xxhash64("rep", "pivot"), F.col("pieces")).cast("int")).join(whole, "rep").join(pivots, ["pivot", "piece"])
     i = F.size(F.array_intersect("set", "of_pivot"))
     return both.filter(100 * i >= percent * (F.size("set") + F.size("of_pivot") - i)).select("pivot", "rep")
 
