@@ -60,7 +60,10 @@ class Items:
         return w, places[found], k[found]
 
     def matches(self, text: str) -> list[tuple[int, float, int, int]]:
-        """(item, score, first word, word after the last) of each item found in the text, its best alignment."""
+        """(item, score, first word, word after the last) of each item found in the text, its best alignment.
+
+        Seeds on diagonals near each other are aligned as one stretch, row by row of the item: at worst, where a text repeats a seed all along,
+        the whole text once for the item, so time grows with words of the text times words of the item, and memory with the text."""
         w, places, k = self.hits(text)
         if not len(places):
             return []
