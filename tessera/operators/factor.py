@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,6 +37,8 @@ def baseline_frames(frames: DataFrame) -> DataFrame:
 
 #: Numbers of a block of pixels with all its bins, and of a factor that is sent to the workers whole.
 HELD, SENT = 16_000_000, 32_000_000
+#: Bins or pixels whose products with each other are a matrix for the driver (32 MB).
+WHOLE = 2048
 #: Frames and pixels of a piece where the factor is too large to be sent.
 PIECE_FRAMES, PIECE_PIXELS = 2048, 8192
 
@@ -45,12 +47,51 @@ def summed(pdf: pd.DataFrame) -> np.ndarray:
     return np.stack(pdf["total"].to_list()).sum(0)
 
 
+def gathered(parts: DataFrame, n: int, m: int) -> np.ndarray:
+    """The n x m matrix whose rows (bin, total) come in parts that add up; rows without parts are zero."""
+
+    def added(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"bin": pdf["bin"].iloc[:1], "total": [summed(pdf)]})
+
+    out = np.zeros((n, m))
+    for batch in parts.groupBy("bin").applyInPandas(added, "bin long, total array<double>").toArrow().to_batches():
+        out[batch["bin"].to_numpy()] = batch["total"].flatten().to_numpy(zero_copy_only=False).reshape(-1, m)
+    return out
+
+
+def leading_vectors(multiply: Callable[[np.ndarray], np.ndarray], n: int, k: int, tol: float = 1e-8) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` greatest eigenvalues of a symmetric matrix of ``n`` rows, none negative, and their vectors (n, k), from its products with some 1.25 k
+    columns at a time: block Lanczos with restarts, until no residual exceeds ``tol`` of the greatest eigenvalue. The published algorithm rounds
+    the matrix itself to float32, by 6e-8 of it. Holds some ten times n x k numbers."""
+    wide = min(n, k + max(20, k // 4))
+    basis = np.linalg.qr(np.random.default_rng(0).standard_normal((n, wide)))[0]
+    image = multiply(basis)
+    while True:
+        inner = basis.T @ image
+        values, mix = np.linalg.eigh((inner + inner.T) / 2)
+        values, mix = values[::-1], mix[:, ::-1]
+        q = basis @ mix[:, :wide]
+        rest = image @ mix[:, :wide] - q * values[:wide]
+        limit = tol * max(float(values[0]), 0.0)
+        if basis.shape[1] >= n or (np.sqrt((rest[:, :k] ** 2).sum(0)) <= limit).all():
+            return values[:k], q[:, :k]
+        if basis.shape[1] + wide > 4 * wide:
+            basis, image = basis @ mix[:, : 2 * wide], image @ mix[:, : 2 * wide]
+        for _ in range(2):
+            rest -= basis @ (basis.T @ rest)
+        new, size, _ = np.linalg.svd(rest, full_matrices=False)
+        new = new[:, size > 1e-3 * limit][:, : n - basis.shape[1]]
+        new = np.linalg.qr(new - basis @ (basis.T @ new))[0]
+        basis, image = np.hstack([basis, new]), np.hstack([image, multiply(new)])
+
+
 def approximate_svd(frames: DataFrame, k: int = 200, per_bin: int = 15, max_bins: int = 5000, mask: np.ndarray | None = None, divide: bool = True, trials: DataFrame | None = None, compat: bool = False) -> tuple[DataFrame, DataFrame]:
     """(spatial ``pixel_id, u``; temporal ``t, frame_id, channel, v``) of a movie in the frame layout.
 
-    Bins of dF/F (at most ``max_bins`` of each channel) are kept by blocks of pixels. Each block gives a bins x bins product, added up by rows; its
-    leading vectors, found on the driver ((max_bins x channels)^2 numbers), combine the bins into unit components block by block, and every frame is projected on
-    them. With ``trials`` (trial_id, onset_frame) each frame uses its trial's baseline. ``compat`` has the published algorithm's edges: the last bin
+    Bins of dF/F (at most ``max_bins`` of each channel) give unit components, and every frame is projected on them. Where there are no more pixels
+    than bins, and at most ``WHOLE``, the components are the leading vectors of the pixels' products over the bins. Else bins are kept by blocks
+    of pixels and combined into components block by block, by the leading vectors of the bins' products over the pixels: of a matrix on the
+    driver for at most ``WHOLE`` bins of all channels, and for more without that matrix, by its products with a few columns. With ``trials`` (trial_id, onset_frame) each frame uses its trial's baseline. ``compat`` has the published algorithm's edges: the last bin
     lacks its last frame, the movie's last frame is zero, and with trials so are the frames before the first onset."""
     n, channels, px = frames.agg(F.coalesce(F.max("frame_id") + 1, F.lit(0)), F.coalesce(F.max("channel") + 1, F.lit(1)), F.coalesce(F.max(F.size("pixels")), F.lit(0))).first()
     if trials is not None:
@@ -62,7 +103,8 @@ def approximate_svd(frames: DataFrame, k: int = 200, per_bin: int = 15, max_bins
         rel = frame_dff(frames, baseline_frames(frames), divide)
     per_bin, bins = bin_size(n, k, per_bin, max_bins)
     last, bins = bins * per_bin - int(compat), bins * channels  # a channel's bins are rows of their own
-    width = max(1, min(px, HELD // max(1, bins)))
+    by_pixel = px <= min(bins, WHOLE)
+    width = max(1, px if by_pixel else min(px, HELD // max(1, bins)))
     keep = np.ones(px) if mask is None else mask.ravel().astype(np.float64)
     held = frames.sparkSession.sparkContext.broadcast(keep)  # a frame
 
@@ -80,30 +122,60 @@ def approximate_svd(frames: DataFrame, k: int = 200, per_bin: int = 15, max_bins
     def mean(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"block": pdf["block"].iloc[:1], "bin": pdf["bin"].iloc[:1], "total": [summed(pdf) / pdf["n"].sum()]})
 
-    def products(pdf: pd.DataFrame) -> pd.DataFrame:
+    def of_pixels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c = None
+        for b in batches:
+            if len(b):
+                x = stacked(b["total"])
+                c = x.T @ x / px + (0 if c is None else c)
+        if c is not None:
+            yield pd.DataFrame({"bin": np.arange(px), "total": list(c)})
+
+    def of_bins(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.zeros((bins, len(pdf["total"].iloc[0])))
         x[pdf["bin"].to_numpy()] = stacked(pdf["total"])
         return pd.DataFrame({"bin": np.arange(bins), "total": list(x @ x.T / px)})
 
-    def added(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"bin": pdf["bin"].iloc[:1], "total": [summed(pdf)]})
+    def times(q: np.ndarray) -> np.ndarray:
+        sent = frames.sparkSession.sparkContext.broadcast(q)
+
+        def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
+            x, at = stacked(pdf["total"]), pdf["bin"].to_numpy()
+            return pd.DataFrame({"bin": at, "total": list(x @ (x.T @ sent.value[at]) / px)})
+
+        out = gathered(binned.groupBy("block").applyInPandas(multiply, parts), *q.shape)
+        sent.destroy()
+        return out
 
     binned = rel.filter(F.col("frame_id") < last).select((F.expr(f"frame_id div {per_bin}") * channels + F.col("channel")).alias("bin"), "pixels").mapInPandas(partial, "block int, bin long, total array<double>, n long")
-    binned = binned.groupBy("block", "bin").applyInPandas(mean, "block int, bin long, total array<double>").persist(StorageLevel.MEMORY_AND_DISK)
-    rows = binned.groupBy("block").applyInPandas(products, "bin long, total array<double>").groupBy("bin").applyInPandas(added, "bin long, total array<double>").toArrow().sort_by("bin")
-    c = np.concatenate([x.flatten().to_numpy(zero_copy_only=False) for x in rows["total"].chunks] or [np.zeros(0)]).reshape(rows.num_rows, rows.num_rows)
-    size, vectors = np.linalg.eigh(c) if len(c) else (np.zeros(0), np.zeros((0, 0)))
-    first = np.argsort(-size)[: min(k, len(c))]
+    binned = binned.groupBy("block", "bin").applyInPandas(mean, "block int, bin long, total array<double>")
+    if bins > WHOLE and not by_pixel:  # read many times, block by block
+        binned = binned.repartition("block").sortWithinPartitions("block")
+    parts = "bin long, total array<double>"
+    binned = binned.persist(StorageLevel.MEMORY_AND_DISK)
+    if by_pixel:
+        size, vectors = np.linalg.eigh(gathered(binned.select("total").mapInPandas(of_pixels, parts), px, px))
+    elif bins <= WHOLE:
+        size, vectors = np.linalg.eigh(gathered(binned.groupBy("block").applyInPandas(of_bins, parts), bins, bins))
+    else:
+        size, vectors = leading_vectors(times, bins, min(k, bins))
+    first = np.argsort(-size)[:k]
     norm = np.sqrt(np.maximum(size[first], 0) * px)  # of vectors.T @ bins, as its square is the eigenvalue
     sound = norm > 1e-12 * max(float(norm.max(initial=0)), 1e-300)
-    mix = np.where(sound[:, None], vectors[:, first].T / np.where(sound, norm, 1)[:, None], 0)
+    mix = np.where(sound[:, None], vectors[:, first].T / np.where(sound, 1 if by_pixel else norm, 1)[:, None], 0)
 
     def components(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.zeros((bins, len(pdf["total"].iloc[0])))
         x[pdf["bin"].to_numpy()] = stacked(pdf["total"])
         return pd.DataFrame({"pixel_id": int(pdf["block"].iloc[0]) * width + np.arange(x.shape[1]), "u": list((mix @ x).T)})
 
-    spatial = binned.groupBy("block").applyInPandas(components, "pixel_id int, u array<double>").persist(StorageLevel.MEMORY_AND_DISK)
+    def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"pixel_id": b["id"].astype(np.int32), "u": list((mix * keep).T[b["id"]])})
+
+    of = "pixel_id int, u array<double>"
+    spatial = frames.sparkSession.range(px).mapInPandas(own, of) if by_pixel else binned.groupBy("block").applyInPandas(components, of)
+    spatial = spatial.persist(StorageLevel.MEMORY_AND_DISK)
     v = projected(rel, spatial, px, len(mix))
     if compat:
         start = 0 if trials is None else trials.agg(F.min("onset_frame")).first()[0] or 0

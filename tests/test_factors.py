@@ -33,6 +33,52 @@ def test_svd_rebuilds_a_low_rank_movie(spark):
     assert np.allclose(norms[:3], 1)
 
 
+def fading(rng, t=120, channels=2, px=60):
+    """A movie (t x channels, pixel) whose components fade, each to four fifths of the one before."""
+    u, v = np.linalg.qr(rng.standard_normal((px, px)))[0], np.linalg.qr(rng.standard_normal((t * channels, px)))[0]
+    return 1000 + 100 * (v * 0.8 ** np.arange(px)) @ u.T
+
+
+def test_no_matrix_of_all_bins_reaches_the_driver(spark, monkeypatch):
+    seen = []
+    inner = np.linalg.eigh
+    monkeypatch.setattr(np.linalg, "eigh", lambda c: seen.append(len(c)) or inner(c))
+    rows = as_frames(spark, fading(np.random.default_rng(7)))
+    u, _ = factor.approximate_svd(rows, 60, per_bin=1)  # 240 bins of 60 pixels
+    U = np.stack([r["u"] for r in u.orderBy("pixel_id").collect()])
+    assert max(seen) <= 60 and np.allclose(U.T @ U, np.eye(60), atol=1e-9)
+
+
+@pytest.mark.parametrize("held", [16_000_000, 500])
+@pytest.mark.parametrize(("per_bin", "whole"), [(1, 50), (10, 2048), (10, 20)])
+def test_svd_by_bins(spark, monkeypatch, held, per_bin, whole):
+    """240 bins with more pixels than a matrix holds; 24 bins of 60 pixels, as a matrix and without it."""
+    x = fading(np.random.default_rng(8))
+    monkeypatch.setattr(factor, "HELD", held)
+    monkeypatch.setattr(factor, "WHOLE", whole)
+    u, v = factor.approximate_svd(as_frames(spark, x), 5, per_bin=per_bin)
+    got = np.stack([r["u"] for r in u.orderBy("pixel_id").collect()])
+    cube = x.reshape(120, 2, 60)
+    bins = (cube / cube.mean(0) - 1).reshape(-1, per_bin, 2, 60).mean(1).reshape(-1, 60)
+    want = np.linalg.svd(bins)[2][:5].T
+    assert np.abs(np.abs((got * want).sum(0)) - 1).max() < 1e-9 and np.allclose((got * got).sum(0), 1) and v.count() == 240
+
+
+def test_leading_vectors_with_restarts():
+    rng = np.random.default_rng(9)
+    q = np.linalg.qr(rng.standard_normal((600, 600)))[0]
+    size = np.concatenate([[50, 49.9, 20], np.linspace(2, 0, 597)])  # no gap in the rest
+    c = (q * size) @ q.T
+    done = []
+    got, vectors = factor.leading_vectors(lambda x: done.append(x.shape[1]) or c @ x, 600, 8)
+    assert np.allclose(got, size[:8], rtol=1e-9) and np.abs(c @ vectors - vectors * got).max() < 1e-6 and max(done) <= 28
+    assert len(done) > 4  # restarted
+    zero = factor.leading_vectors(lambda x: 0 * x, 30, 3)
+    assert zero[0].tolist() == [0, 0, 0]
+    every = factor.leading_vectors(lambda x: c[:40, :40] @ x, 40, 40)
+    assert np.allclose(every[0], np.linalg.eigvalsh(c[:40, :40])[::-1])
+
+
 def test_blockwise_svd_rebuilds(spark):
     rng = np.random.default_rng(1)
     x = rng.standard_normal((40, 3)) @ rng.standard_normal((3, H * W))
