@@ -69,7 +69,7 @@ def preprocess(frames: DataFrame, height: int, width: int, k: int = 200, fs: flo
             registered.unpersist()
             frames = raw.read_raw(frames.sparkSession, f"{out}/motioncorrect").select("frame_id", "channel", F.col("pixels").cast("array<double>").alias("pixels"))
         else:
-            frames = registered.select("frame_id", "channel", "pixels")
+            frames = registered.select("frame_id", "channel", "pixels").persist(StorageLevel.MEMORY_AND_DISK)  # read by all that follows
     spatial, temporal = factor.approximate_svd(frames, k, mask=mask)
     spatial = spatial.withColumn("y", F.expr(f"int(pixel_id div {width})")).withColumn("x", (F.col("pixel_id") % width).cast("int"))
     rank = len(spatial.first()["u"])

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.arrays import stacked
+
 
 def sampled(im: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
     """The image at (y, x), bilinear; zero outside."""
@@ -42,20 +44,43 @@ def warp_image(im: np.ndarray, m: np.ndarray) -> np.ndarray:
     return sampled(im, at[1] / at[2], at[0] / at[2])
 
 
-def phase_shift(template: np.ndarray, im: np.ndarray) -> tuple[float, float]:
-    """(dy, dx) by which the image's content is moved against the template: the peak of the phase correlation, by the weighted centre of its
-    neighbourhood."""
-    h, w = im.shape
+def shift_images(stack: np.ndarray, dy: np.ndarray, dx: np.ndarray) -> np.ndarray:
+    """Each image (n, h, w) by its own shift, as ``shift_image`` does without a turn."""
+    _, h, w = stack.shape
+    y, x = np.arange(h) + dy[:, None], np.arange(w) + dx[:, None]
+    y0, x0 = np.floor(y).astype(int), np.floor(x).astype(int)
+    fy, fx = y - y0, x - x0
+    out, each = np.zeros(stack.shape), np.arange(len(stack))[:, None, None]
+    for i in (0, 1):
+        for j in (0, 1):
+            yi, xj = y0 + i, x0 + j
+            ok = ((yi >= 0) & (yi < h))[:, :, None] & ((xj >= 0) & (xj < w))[:, None, :]
+            weight = (fy if i else 1 - fy)[:, :, None] * (fx if j else 1 - fx)[:, None, :]
+            out += np.where(ok, weight * stack[each, np.clip(yi, 0, h - 1)[:, :, None], np.clip(xj, 0, w - 1)[:, None, :]], 0)
+    return out
+
+
+def phase_shifts(template: np.ndarray, stack: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(dy, dx) by which each image's content (n, h, w) is moved against the template: the peak of the phase correlation, by the weighted centre of
+    its neighbourhood."""
+    n, h, w = stack.shape
     win = np.outer(np.hanning(h), np.hanning(w))
-    f = np.fft.fft2((im - im.mean()) * win) * np.conj(np.fft.fft2((template - template.mean()) * win))
+    f = np.fft.fft2((stack - stack.mean((1, 2), keepdims=True)) * win) * np.conj(np.fft.fft2((template - template.mean()) * win))
     r = np.fft.ifft2(f / np.maximum(np.abs(f), 1e-12)).real
-    py, px = np.unravel_index(int(r.argmax()), r.shape)
-    ys, xs = (py + np.arange(-1, 2)) % h, (px + np.arange(-1, 2)) % w
-    near = np.maximum(r[np.ix_(ys, xs)], 0)
-    near = near - near.min()
-    total = max(float(near.sum()), 1e-12)
-    dy, dx = py + (near.sum(1) @ np.arange(-1, 2)) / total, px + (near.sum(0) @ np.arange(-1, 2)) / total
-    return float(dy - h * (dy > h / 2)), float(dx - w * (dx > w / 2))
+    py, px = np.divmod(r.reshape(n, -1).argmax(1), w)
+    near_by = np.arange(-1, 2)
+    ys, xs = (py[:, None] + near_by) % h, (px[:, None] + near_by) % w
+    near = np.maximum(r[np.arange(n)[:, None, None], ys[:, :, None], xs[:, None, :]], 0)
+    near = near - near.min((1, 2), keepdims=True)
+    total = np.maximum(near.sum((1, 2)), 1e-12)
+    dy, dx = py + near.sum(2) @ near_by / total, px + near.sum(1) @ near_by / total
+    return dy - h * (dy > h / 2), dx - w * (dx > w / 2)
+
+
+def phase_shift(template: np.ndarray, im: np.ndarray) -> tuple[float, float]:
+    """``phase_shifts`` of one image."""
+    dy, dx = phase_shifts(template, im[None])
+    return float(dy[0]), float(dx[0])
 
 
 def ecc(template: np.ndarray, im: np.ndarray, steps: int = 100, eps: float = 1e-6) -> tuple[float, float, float]:
@@ -134,21 +159,30 @@ def register_frames(frames: DataFrame, templates: dict[int, np.ndarray], height:
     held = frames.sparkSession.sparkContext.broadcast(templates)  # a frame a channel
 
     def one(template: np.ndarray, im: np.ndarray) -> tuple[np.ndarray, float, float, float]:
-        if mode in ("2d", "ecc"):
-            dy, dx, rot = (*phase_shift(template, im), 0.0) if mode == "2d" else ecc(template, im)
+        if mode == "ecc":
+            dy, dx, rot = ecc(template, im)
             return shift_image(im, dy, dx, rot), dy, dx, rot
         m = ecc_matrix(template, im, mode)
         x, y = (width - 1) / 2, (height - 1) / 2
         at = m @ np.array([x, y, 1.0])
         return warp_image(im, m), float(at[1] / at[2] - y), float(at[0] / at[2] - x), float(np.degrees(np.arctan2(m[1, 0], m[0, 0])))
 
+    def part(c: int, b: pd.DataFrame) -> pd.DataFrame:
+        """Frames of one channel."""
+        stack = stacked(b["pixels"]).reshape(-1, height, width)
+        if mode == "2d":
+            dy, dx = phase_shifts(held.value[c], stack)
+            moved, rot = shift_images(stack, dy, dx), 0.0
+        else:
+            moved, dy, dx, rot = map(np.array, zip(*(one(held.value[c], im) for im in stack), strict=True))
+        return pd.DataFrame({"frame_id": b["frame_id"], "channel": c, "pixels": list(np.clip(moved, 0, top).reshape(len(b), -1)), "dy": dy, "dx": dx, "rot_deg": rot})
+
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = max(1, 1_000_000 // max(1, height * width))  # frames moved at a time
         for b in batches:
-            rows = []
-            for f, c, p in zip(b["frame_id"], b["channel"], b["pixels"], strict=True):
-                moved, dy, dx, rot = one(held.value[c], np.asarray(p, np.float64).reshape(height, width))
-                rows.append((f, c, np.clip(moved, 0, top).ravel(), dy, dx, rot))
-            yield pd.DataFrame(rows, columns=["frame_id", "channel", "pixels", "dy", "dx", "rot_deg"])
+            for c, own in b.groupby("channel"):
+                for k in range(0, len(own), rows):
+                    yield part(c, own.iloc[k : k + rows])
 
     return frames.select("frame_id", "channel", "pixels").mapInPandas(work, "frame_id long, channel int, pixels array<double>, dy double, dx double, rot_deg double")
 
@@ -161,10 +195,14 @@ def collected(frames: DataFrame, height: int, width: int) -> dict[int, np.ndarra
 
 
 def motion_correct(frames: DataFrame, height: int, width: int, mode: str = "2d", n_reference: int = 60) -> DataFrame:
-    """Frames registered to a template: frames n_reference .. 2 n_reference - 1 (the last as many of a shorter movie) registered to the first of
-    them, and averaged."""
-    last = frames.agg(F.max("frame_id")).first()[0] or 0
-    first = min(n_reference, max(0, last + 1 - n_reference))
-    start = frames.filter(F.col("frame_id").between(first, first + n_reference - 1))
-    template = collected(register_frames(start, collected(frames.filter(F.col("frame_id") == first), height, width), height, width, mode), height, width)
+    """Frames registered to a template: frames n_reference .. 2 n_reference - 1 (the last as many of a shorter movie), by their order within each
+    channel, registered to the first of them, and averaged."""
+    near = F.lit(False)
+    for (c,) in frames.select("channel").distinct().collect():
+        ids = [r[0] for r in frames.filter(F.col("channel") == c).select("frame_id").distinct().orderBy("frame_id").limit(2 * n_reference).collect()]
+        near = near | ((F.col("channel") == c) & F.col("frame_id").isin(ids[-n_reference:]))
+    start = frames.filter(near)
+    frame = start.groupBy("channel").agg(F.min_by("pixels", "frame_id").alias("pixels"))  # a row a channel
+    first = {r["channel"]: np.array(r["pixels"]).reshape(height, width) for r in frame.collect()}
+    template = collected(register_frames(start, first, height, width, mode), height, width)
     return register_frames(frames, template, height, width, mode)

@@ -153,7 +153,8 @@ def _(spark, d):
 
 @query("preprocess")
 def _(spark, d):
-    m, done = movie.preprocess(ad.frames(spark, d), SIDE, SIDE, k=8, mode=None)
+    """With all its steps: registration, factors, correction."""
+    _, done = movie.preprocess(ad.frames(spark, d), SIDE, SIDE, k=8)
     return rounded(done.coefficients, "r", digits=4)
 
 

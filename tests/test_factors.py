@@ -136,6 +136,40 @@ def test_registration_finds_planted_shifts(spark):
     assert out.agg(F.max(F.abs("dy"))).first()[0] < 0.2
 
 
+def test_frames_are_registered_together_as_one_by_one():
+    rng = np.random.default_rng(10)
+    template, stack = rng.standard_normal((9, 12)) + 5, rng.standard_normal((40, 9, 12)) + 5
+    dy, dx = registration.phase_shifts(template, stack)
+    moved = registration.shift_images(stack, dy, dx)
+    for k, im in enumerate(stack):
+        assert registration.phase_shift(template, im) == (dy[k], dx[k])
+        assert np.allclose(moved[k], registration.shift_image(im, dy[k], dx[k]), atol=1e-12)
+
+
+def test_channels_have_templates_of_their_own_frames(spark):
+    """Frame numbers with gaps, and a channel that begins late."""
+    rng = np.random.default_rng(11)
+    im = morphology.gaussian(rng.standard_normal((16, 16)), 1.5) * 300 + 1000
+    rows = [(7 * t, 0, im.ravel().tolist()) for t in range(5)] + [(500 + 3 * t, 1, im.ravel().tolist()) for t in range(9)]
+    out = registration.motion_correct(spark.createDataFrame(rows, "frame_id long, channel int, pixels array<double>"), 16, 16, n_reference=3).collect()
+    assert len(out) == 14 and max(abs(r["dy"]) + abs(r["dx"]) for r in out) < 0.3
+
+
+def test_query_preprocess_registers(spark, tmp_path):
+    """A movie whose frames are moved: the query's coefficients are those of the registered movie."""
+    from __spark_entry__ import queries
+    from tessera.sources import adapters as ad
+
+    rng = np.random.default_rng(12)
+    im = morphology.gaussian(rng.standard_normal((8, 8)), 1.0) * 3
+    x = np.stack([np.roll(im, (k // 2) % 3, 0) * (1 + 0.1 * rng.standard_normal()) for k in range(400)])
+    pd.DataFrame({"vec_id": range(400), "embedding": list(x.reshape(400, 64).astype(np.float32))}).to_parquet(tmp_path / "embeddings.parquet")
+    got = {r["pixel_id"]: r["r"] for r in queries()["preprocess"](spark, str(tmp_path)).collect()}
+    frames = registration.motion_correct(ad.frames(spark, str(tmp_path)), 8, 8).select("frame_id", "channel", "pixels")
+    want = {r["pixel_id"]: r["r"] for r in movie.preprocess(frames, 8, 8, k=8, mode=None)[1].coefficients.collect()}
+    assert len(got) == 64 and max(abs(got[p] - want[p]) for p in want) < 1e-3
+
+
 def test_morphology():
     m = np.zeros((9, 9), bool)
     m[2:7, 2:7] = True
