@@ -40,3 +40,13 @@ def test_deviation_is_of_all_frames(spark, tmp_path):
     assert all(abs(got[k] - want[k]) < 2e-6 for k in range(2))
     keep = {r["pixel_id"]: r["keep"] for r in entry.queries()["percentile_threshold"](spark, str(tmp_path)).collect()}
     assert keep == {k: bool(k == want.argmax()) for k in range(2)}
+
+
+@pytest.mark.parametrize("name", ["preprocess"])
+def test_no_matrix_of_all_bins_reaches_the_driver(spark, tmp_path, monkeypatch, name):
+    """80 bins or more of 64 pixels."""
+    x = np.random.default_rng(13).standard_normal((1200, 64)).astype(np.float32)
+    pd.DataFrame({"vec_id": np.arange(1200), "embedding": list(x)}).to_parquet(tmp_path / "embeddings.parquet")
+    seen, eigh = [], np.linalg.eigh
+    monkeypatch.setattr(np.linalg, "eigh", lambda c: seen.append(len(c)) or eigh(c))
+    assert entry.queries()[name](spark, str(tmp_path)).count() in (64, 4096) and seen and max(seen) <= 64
