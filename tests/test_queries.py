@@ -42,7 +42,7 @@ def test_deviation_is_of_all_frames(spark, tmp_path):
     assert keep == {k: bool(k == want.argmax()) for k in range(2)}
 
 
-@pytest.mark.parametrize("name", ["preprocess"])
+@pytest.mark.parametrize("name", ["preprocess", "svd_components"])
 def test_no_matrix_of_all_bins_reaches_the_driver(spark, tmp_path, monkeypatch, name):
     """80 bins or more of 64 pixels."""
     x = np.random.default_rng(13).standard_normal((1200, 64)).astype(np.float32)
